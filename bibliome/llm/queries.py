@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliome.llm import vectors
+from bibliome.llm import survivor, vectors
 from bibliome.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,5 +22,21 @@ def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
     return vectors.search_by_scan(facts, facts.where(F.col("facts_id") % 20 == 0), "facts_id", "vector").withColumnRenamed("id", "facts_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest)}
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "source_record"), table(spark, d, "source_priority")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(*_records(spark, d)).select("paper_id", "field_name", "record_id")
+
+
+def p3_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(*_records(spark, d)).select("paper_id", "field_name", F.col("closest_id").alias("record_id"))
+
+
+def p3_papers(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivor_rows(*_records(spark, d))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_consensus, p3_papers)}
 ORACLES: dict[str, str] = {}
