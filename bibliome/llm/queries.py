@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliome.llm import survivor, vectors
+from bibliome.llm import mojibake, survivor, vectors
 from bibliome.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,5 +38,16 @@ def p3_papers(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivor_rows(*_records(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_consensus, p3_papers)}
+_PREPRINT = ("preprint_id", "src", ("title", "abstract_text"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.damaged_texts(table(spark, d, "epmc_preprint"), *_PREPRINT).select(F.col("id").alias("preprint_id"), F.col("field").alias("field_name"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repaired_texts(table(spark, d, "epmc_preprint"), *_PREPRINT).withColumnsRenamed({"id": "preprint_id", "field": "field_name"})
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_consensus, p3_papers, p5_found, p5_repaired)}
 ORACLES: dict[str, str] = {}
