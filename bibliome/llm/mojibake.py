@@ -159,18 +159,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Characters beyond ASCII that stand in no run, and texts by source and field."""
+    """Texts by character beyond ASCII, and by source and field."""
     chars, texts = Counter(), Counter()
     for b in batches:
         for _, source, field, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             texts[(source, field)] += 1
             if text.isascii():
                 continue
-            inside: set[str] = set()
-            for found in runs_of(text).values():
-                for r, _ in found:
-                    inside.update(r)
-            chars.update(c for c in set(text) if not c.isascii() and c not in inside)
+            chars.update(c for c in set(text) if not c.isascii())
     yield _stats([("char", "", "", c, float(n)) for c, n in chars.items()] + [("texts", s, f, "", float(n)) for (s, f), n in texts.items()])
 
 
