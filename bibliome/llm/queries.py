@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliome.llm import mojibake, survivor, vectors
+from bibliome.llm import mojibake, packing, reading, survivor, tokens, vectors
 from bibliome.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,5 +49,25 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repaired_texts(table(spark, d, "epmc_preprint"), *_PREPRINT).withColumnsRenamed({"id": "preprint_id", "field": "field_name"})
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_consensus, p3_papers, p5_found, p5_repaired)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_summary(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_summary(p9_packed(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_label"))
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.level_profile(table(spark, d, "documents"), table(spark, d, "reading_label"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_consensus, p3_papers, p5_found, p5_repaired, p8_ids, p9_packed, p9_summary, p10_found, p10_profile)}
 ORACLES: dict[str, str] = {}
