@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliome.llm import mojibake, packing, reading, survivor, tokens, vectors
+from bibliome.llm import matching, mojibake, packing, reading, survivor, tokens, vectors
 from bibliome.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,18 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repaired_texts(table(spark, d, "epmc_preprint"), *_PREPRINT).withColumnsRenamed({"id": "preprint_id", "field": "field_name"})
 
 
+def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "epmc_article"), table(spark, d, "openalex_work")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return matching.matched(*_sources(spark, d)).select("article_id", "work_id")
+
+
+def p6_matched(spark: SparkSession, d: str) -> DataFrame:
+    return matching.matched(*_sources(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -69,5 +81,5 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.level_profile(table(spark, d, "documents"), table(spark, d, "reading_label"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_consensus, p3_papers, p5_found, p5_repaired, p8_ids, p9_packed, p9_summary, p10_found, p10_profile)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_consensus, p3_papers, p5_found, p5_repaired, p6_found, p6_matched, p8_ids, p9_packed, p9_summary, p10_found, p10_profile)}
 ORACLES: dict[str, str] = {}
