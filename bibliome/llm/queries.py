@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliome.llm import matching, mojibake, packing, reading, survivor, tokens, vectors
+from bibliome.llm import matching, mojibake, names, packing, reading, survivor, tokens, vectors
 from bibliome.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,18 @@ def p3_papers(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivor_rows(*_records(spark, d))
 
 
+def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "epmc_article"), table(spark, d, "retraction_notice")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_names(*_named(spark, d))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_classes(*_named(spark, d))
+
+
 _PREPRINT = ("preprint_id", "src", ("title", "abstract_text"))
 
 
@@ -81,5 +93,5 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.level_profile(table(spark, d, "documents"), table(spark, d, "reading_label"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_consensus, p3_papers, p5_found, p5_repaired, p6_found, p6_matched, p8_ids, p9_packed, p9_summary, p10_found, p10_profile)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_consensus, p3_papers, p4_found, p4_classes, p5_found, p5_repaired, p6_found, p6_matched, p8_ids, p9_packed, p9_summary, p10_found, p10_profile)}
 ORACLES: dict[str, str] = {}
