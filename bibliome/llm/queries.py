@@ -93,5 +93,33 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.level_profile(table(spark, d, "documents"), table(spark, d, "reading_label"))
 
 
+_STAND_INS = ", ".join("'" + w.replace("'", "''") + "'" for w in survivor.STAND_INS)
+_FIELD_STAND_INS = " ".join(f"WHEN '{f}' THEN plain IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")" for f, words in survivor.FIELD_STAND_INS.items())
+_P1_SQL = """
+WITH f AS (SELECT facts_id, list_transform(vector, lambda x: x::DOUBLE) AS v FROM paper_facts WHERE vector IS NOT NULL AND len(vector) = 96
+  AND list_bool_and(list_transform(vector, lambda x: isfinite(x))) AND list_bool_or(list_transform(vector, lambda x: x <> 0))),
+s AS (SELECT a.facts_id AS a, b.facts_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM f a JOIN f b ON a.facts_id <> b.facts_id WHERE list_cosine_similarity(a.v, b.v) >= 0.8),
+t AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM s)
+SELECT DISTINCT least(a, b) AS facts_a, greatest(a, b) AS facts_b FROM t WHERE n <= 5"""
+_P3_SQL = f"""
+WITH inv AS (SELECT record_id, string_agg(w, ' ' ORDER BY p, w) AS abstract FROM (
+    SELECT s.record_id, e.key AS w, unnest(CAST(e.value AS INTEGER[])) AS p FROM source_record s, json_each(s.payload::JSON, '$.abstract_inverted_index') e WHERE s.source_key = 'openalex') GROUP BY record_id),
+r AS (SELECT s.* REPLACE (s.payload::JSON AS payload), inv.abstract AS inverted FROM source_record s LEFT JOIN inv USING (record_id)
+  WHERE paper_id IS NOT NULL AND trim(paper_id) <> '' AND paper_id IN (SELECT paper_id FROM source_record GROUP BY paper_id HAVING count(*) > 1)),
+v AS (
+  SELECT record_id, paper_id, source_key, fetched_at, 'title' AS field_name, CASE source_key WHEN 'openalex' THEN coalesce(nullif(trim(payload ->> '$.display_name'), ''), payload ->> '$.title') ELSE payload ->> '$.title' END AS value FROM r
+  UNION ALL SELECT record_id, paper_id, source_key, fetched_at, 'abstract', CASE source_key WHEN 'openalex' THEN inverted WHEN 'europepmc' THEN payload ->> '$.abstractText' ELSE payload ->> '$.abstract' END FROM r
+  UNION ALL SELECT record_id, paper_id, source_key, fetched_at, 'doi', payload ->> '$.doi' FROM r
+  UNION ALL SELECT record_id, paper_id, source_key, fetched_at, 'pub_date', CASE source_key WHEN 'openalex' THEN payload ->> '$.publication_date' WHEN 'europepmc' THEN payload ->> '$.firstPublicationDate' WHEN 'pubmed' THEN payload ->> '$.pub_date' WHEN 'biorxiv' THEN payload ->> '$.date' ELSE payload ->> '$.created' END FROM r
+  UNION ALL SELECT record_id, paper_id, source_key, fetched_at, 'venue', CASE source_key WHEN 'openalex' THEN payload ->> '$.primary_location.source.display_name' WHEN 'europepmc' THEN payload ->> '$.journalInfo.journal.title' WHEN 'pubmed' THEN payload ->> '$.journal' WHEN 'biorxiv' THEN payload ->> '$.server' ELSE payload ->> '$."journal-ref"' END FROM r
+  UNION ALL SELECT record_id, paper_id, source_key, fetched_at, 'licence', CASE source_key WHEN 'openalex' THEN payload ->> '$.primary_location.license' ELSE payload ->> '$.license' END FROM r),
+p AS (SELECT *, trim(regexp_replace(regexp_replace(value, '<[^<>]{{1,60}}>', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS shown FROM v),
+q AS (SELECT *, lower(shown) AS plain FROM p),
+m AS (SELECT * FROM q WHERE value IS NOT NULL AND length(plain) > 0 AND plain NOT IN ({_STAND_INS}) AND NOT CASE field_name {_FIELD_STAND_INS} ELSE false END),
+c AS (SELECT m.*, coalesce(sp.priority, -1) AS priority, regexp_matches(shown, '(\\[\\s*(\\.\\.\\.|…|truncated|cut|more)\\s*\\]|(\\.\\.\\.|…)\\s*(\\((more|truncated|cont(inued)?\\.?)\\)|\\[more\\])?)\\s*$')
+   OR (field_name = 'abstract' AND NOT regexp_matches(shown, '[.!?。！？][\\s"''”’»)\\]]*$')) AS cut FROM m LEFT JOIN source_priority sp USING (source_key, field_name))
+SELECT paper_id, field_name, record_id FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, field_name ORDER BY cut, priority DESC, fetched_at DESC NULLS LAST, record_id) AS n FROM c) WHERE n = 1"""
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_consensus, p3_papers, p4_found, p4_classes, p5_found, p5_repaired, p6_found, p6_matched, p8_ids, p9_packed, p9_summary, p10_found, p10_profile)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p1_found": _P1_SQL, "p3_found": _P3_SQL}
