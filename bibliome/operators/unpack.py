@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibliome.session import cut_lineage
+
 #: What parts values wherever it stands outside quotes.
 DELIMITERS = r"[;；|\t\r\n•]|(?<=\s|^)//|//(?=\s|$)"
 #: White space of any kind, the no-break ones and the byte order mark included.
@@ -117,6 +119,7 @@ def packed_values(cells: DataFrame, *, policy: Mapping[str, str]) -> DataFrame:
         .otherwise(whole)
         .alias("items"),
     )
+    sure = cut_lineage(sure)  # read twice: as the result, and for the values that are known
     asked = base.where("way = 'ask'").select(*keep, "t", _values(by_comma).alias("parts"), whole.alias("whole"))
     known = sure.where(of(KNOWN)).select("field_name", F.explode("items").alias("v")).distinct()
     cases = asked.select("field_name", "t", "parts", "whole").dropDuplicates(["field_name", "t"])
