@@ -22,7 +22,7 @@ from bibliome.llm.words import document_frequencies, is_english, sentence_length
 
 LEVELS = 5
 #: Ratings the coefficients are fitted to, at most; every text is scored.
-SAMPLE = 20_000
+SAMPLE = 6_000
 #: Fewest words (by white space) of a text that is given a level.
 MIN_WORDS = 40
 #: A word is outside a list if the level it is familiar at exceeds the list's.
@@ -75,11 +75,10 @@ def _cuts(score: np.ndarray, level: np.ndarray) -> tuple[float, ...]:
     return tuple(out)
 
 
-def _fit(formula: Formula, rated: Sequence[tuple[str, float, str]]) -> Formula:
+def _fit(formula: Formula, rated: Sequence[tuple[str, list[str], float, str]]) -> Formula:
     """Coefficients by ridge regression on rated texts, with an offset for each rater who rated enough of them."""
-    words = [words_of(t) for t, _, _ in rated]
-    x = np.array([formula.features(t, w) for (t, _, _), w in zip(rated, words, strict=True)])
-    y = np.array([v for _, v, _ in rated])
+    x = np.array([formula.features(t, w) for t, w, _, _ in rated])
+    y = np.array([v for *_, v, _ in rated])
     raters = [r for r in sorted({r for *_, r in rated}) if sum(q == r for *_, q in rated) >= 30][1:]
     z = np.hstack([x, np.array([[float(q == r) for r in raters] for *_, q in rated]).reshape(len(y), len(raters))])
     scale = np.maximum(z.std(0), 1e-9)
@@ -109,7 +108,7 @@ def fitted(documents: DataFrame, labels: DataFrame, *, rounds: int = 2) -> Formu
     rated_rows = labels.where("reading_level IS NOT NULL").orderBy(F.xxhash64("doc_id", "rater"), "doc_id", "rater").limit(SAMPLE)
     joined = documents.select("doc_id", "text").join(rated_rows.select("doc_id", "reading_level", "rater"), "doc_id").toArrow().to_pylist()
     joined.sort(key=lambda r: (r["doc_id"], r["rater"] or ""))
-    rated = [(r["text"], float(r["reading_level"]), r["rater"] or "") for r in joined if eligible(r["text"]) is not None]
+    rated = [(r["text"], w, float(r["reading_level"]), r["rater"] or "") for r in joined if (w := eligible(r["text"])) is not None]
     start = Formula(None, (0.5, 0.05, 0.5, 0.3), (1.5, 2.5, 3.5, 4.5))
     formula = _fit(start, rated) if len(rated) >= 20 else start
     for _ in range(rounds):
