@@ -169,7 +169,7 @@ def ranked(s: DataFrame, key: str, limit: int) -> DataFrame:
 def leading(contributions: Column, most: int = 3) -> Column:
     """The greatest positive contributions, the greatest first."""
     entries = F.filter(F.map_entries(contributions), lambda e: e.value > 0)
-    return F.transform(F.slice(F.array_sort(F.transform(entries, lambda e: F.struct((-e.value).alias("less"), e.key.alias("name")))), 1, most), lambda e: e.name)
+    return F.transform(F.slice(F.array_sort(F.transform(entries, lambda e: F.struct((-e.value).alias("less"), e.key.alias("name")))), 1, most), lambda e: e["name"])
 
 
 @dataclass(frozen=True)

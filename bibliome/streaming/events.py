@@ -17,7 +17,7 @@ OLDEST, AHEAD = "365 days", "5 minutes"
 
 def timed(events: DataFrame) -> DataFrame:
     """ts as an instant (files hold it without zone, in UTC)."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events if dict(events.dtypes)["ts"] == "timestamp" else events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def admitted(events: DataFrame, now: Column) -> DataFrame:
@@ -31,17 +31,17 @@ def deduplicated(events: DataFrame, key: str = "event_id", lateness: str = "2 da
     return x.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key]) if x.isStreaming else x.dropDuplicates([key])
 
 
-def tumbling(events: DataFrame, width: str = "1 hour", lateness: str = "2 days") -> DataFrame:
-    """(start, event_type, n, total): counts and sums per window and kind."""
+def tumbling(events: DataFrame, width: str = "1 hour", lateness: str | None = "2 days") -> DataFrame:
+    """(start, event_type, n, total): counts and sums per window and kind; lateness None where the stream has its watermark."""
     x = timed(events)
-    x = x.withWatermark("ts", lateness) if x.isStreaming else x
+    x = x.withWatermark("ts", lateness) if x.isStreaming and lateness else x
     return x.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "2 days") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str | None = "2 days") -> DataFrame:
     """(user_id, start, stop, n): runs of a reader's events with no gap as long as that."""
     x = timed(events)
-    x = x.withWatermark("ts", lateness) if x.isStreaming else x
+    x = x.withWatermark("ts", lateness) if x.isStreaming and lateness else x
     return x.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
