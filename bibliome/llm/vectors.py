@@ -56,8 +56,8 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
 
 
-def train(x: np.ndarray, rows: int, *, books: int = 6, seed: int = 7) -> Codebooks:
-    """Codebooks from a bounded sample of unit vectors, for a collection of so many rows."""
+def train(x: np.ndarray, rows: int, *, books: int = 6, cells: int = 4, seed: int = 7) -> Codebooks:
+    """Codebooks from a bounded sample of unit vectors, for a collection of so many rows that each go to so many cells."""
     rng = np.random.default_rng(seed)
     k = max(4, min(512, math.ceil(math.sqrt(rows / CELL_ROWS))))
     coarse = []
@@ -72,12 +72,12 @@ def train(x: np.ndarray, rows: int, *, books: int = 6, seed: int = 7) -> Codeboo
         rest = rest - c[_nearest(rest, c)]
         fine.append(c)
     made = Codebooks((coarse[0], coarse[1]), tuple(fine), {})
-    cell = cells_of(x, made, 1)[:, 0]
+    near = cells_of(x, made, cells)
     crowded = {}
-    for i, n in zip(*np.unique(cell, return_counts=True), strict=True):
+    for i, n in zip(*np.unique(near, return_counts=True), strict=True):
         here = n / len(x) * rows
         if here > HOT_ROWS and n >= 64:
-            crowded[int(i)] = _kmeans(x[cell == i], min(int(here // CELL_ROWS) + 1, int(n) // 8), rng)
+            crowded[int(i)] = _kmeans(x[(near == i).any(1)], min(int(here // CELL_ROWS) + 1, int(n) // 8), rng)
     return Codebooks(made.coarse, made.fine, crowded)
 
 
@@ -100,7 +100,7 @@ def keys_of(x: np.ndarray, b: Codebooks, many: int) -> tuple[np.ndarray, np.ndar
         at = np.flatnonzero(cell == hot)
         if not len(at):
             continue
-        few = min(many, len(c))
+        few = min(2, len(c))  # a row of a crowded region is in several crowded cells, each cut in its own way
         score = x[row[at]] @ c.T - 0.5 * (c * c).sum(1)
         sub = np.argpartition(-score, few - 1, axis=1)[:, :few]
         keys[0][at] = -1
