@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bibliome.functions.embedding import Encoder, HashedWords, embedded
-from bibliome.functions.text import clean_query
 from bibliome.operators import filters, fusion, recommend
 from bibliome.operators.lexical import lexical_search, postings
 from bibliome.operators.semantic import semantic_search
@@ -48,8 +48,6 @@ class Engine:
         query = " ".join("".join(c if c.isprintable() else " " for c in query).split())
         depth = fusion.pool_depth(limit) if method == "hybrid" else limit
         parts = [getattr(self, m)(query, depth).withColumn("method", F.lit(m)) for m in (("lexical", "semantic") if method == "hybrid" else (method,))]
-        from pyspark.sql.window import Window
-
         lists = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
         lists = lists.withColumns({"query": F.lit(query), "rank": F.row_number().over(Window.partitionBy("method").orderBy(F.desc("score"), "id"))})
         top = fusion.fuse(lists, limit, how=how).select("id", "rank", F.col("total").alias("score")) if method == "hybrid" else lists.select("id", "rank", "score")
@@ -59,6 +57,14 @@ class Engine:
         columns = {"date": "feed_date", "preprint": "is_preprint", "reviewed": "is_peer_reviewed", "fields": "field_slugs", "retraction": "retraction_status"}
         return filters.newest_first(filters.filtered(self.facts, f or filters.SearchFilters(), columns), "feed_date", "facts_id", limit=limit, offset=offset)
 
+    def paper(self, facts_id: int) -> DataFrame:
+        return self.facts.where(F.col("facts_id") == facts_id).limit(1)
+
+    def search_all(self, query: str, *, limit: int = 20) -> DataFrame:
+        """(method, id, rank, score): every method's list for one query, for pooling."""
+        one = lambda m: self.search(query, method=m, limit=limit).select(F.lit(m).alias("method"), "id", "rank", "score")
+        return one("lexical").unionByName(one("semantic")).unionByName(one("hybrid"))
+
     def field_counts(self) -> DataFrame:
         return filters.field_counts(self.facts, "field_slugs")
 
@@ -71,10 +77,6 @@ class Engine:
         return recommend.diversified(shown, limit)
 
 
-def cleaned(c: Column) -> Column:
-    return clean_query(c)
-
-
 def interests_of(facts: DataFrame, keys: Sequence[int]) -> list[tuple[int, tuple[float, ...]]]:
     """The vectors of a handful of papers, for a profile made of papers."""
     rows = facts.where(F.col("facts_id").isin(list(keys))).select("facts_id", "vector").collect()

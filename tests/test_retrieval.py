@@ -24,6 +24,15 @@ def test_query_language(spark, q, ids, mode):
     assert found(spark, q) == (ids, mode)
 
 
+def test_many_queries_at_once_equal_single_ones(spark):
+    index = lexical.postings(docs(spark), "id", {"title": "A", "body": "C"})
+    texts = {"a": "deep learning", "b": '"deep sea"', "c": "nothing here"}
+    many = lexical.evaluate_many(index, {k: lexical.parse(t) for k, t in texts.items()}, 5).collect()
+    for k, t in texts.items():
+        single, _ = lexical.lexical_search(index, t, 5, relax=False)
+        assert [(r.id, round(r.score, 9)) for r in sorted((x for x in many if x.query == k), key=lambda x: x["rank"])] == [(r.id, round(r.score, 9)) for r in single.collect()]
+
+
 def test_rank_laws():
     near, far = lexical.cover_density([(1, "a", 1.0), (2, "b", 1.0)], 2), lexical.cover_density([(1, "a", 1.0), (9, "b", 1.0)], 2)
     assert near > far > 0
@@ -117,4 +126,5 @@ def test_engine(spark):
         assert [h["rank"] for h in hits] == list(range(1, len(hits) + 1)) and hits[0].id in (1, 2, 5)
     with pytest.raises(ValueError):
         e.search("x", method="magic")
-    assert e.papers(filters.SearchFilters(retraction="all"), limit=5).count() == 1 if "retraction_status" in facts.columns else True
+    assert {r.method for r in e.search_all("deep learning", limit=2).collect()} == {"lexical", "semantic", "hybrid"}
+    assert e.paper(1).count() == 1 and e.paper(2).count() == 0
