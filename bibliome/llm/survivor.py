@@ -71,23 +71,22 @@ def _plain(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(value, r"<[^<>]{1,60}>", " "), r"[\s\p{Z}]+", " "))
 
 
-def says_something(field: Column, value: Column) -> Column:
-    plain = F.lower(_plain(value))
+def says_something(field: Column, plain: Column) -> Column:
+    plain = F.lower(plain)
     by_field = F.lit(False)
     for name, words in FIELD_STAND_INS.items():
         by_field = by_field | ((field == name) & plain.isin(*words))
-    return value.isNotNull() & (F.length(plain) > 0) & ~plain.isin(*STAND_INS) & ~by_field
+    return (F.length(plain) > 0) & ~plain.isin(*STAND_INS) & ~by_field
 
 
-def marked_cut(field: Column, value: Column) -> Column:
+def marked_cut(field: Column, plain: Column) -> Column:
     """The value itself shows that it was cut off: by a mark at its end, or, of an abstract, by ending within a sentence."""
-    plain = _plain(value)
     return plain.rlike(CUT_MARK) | ((field == "abstract") & ~plain.rlike(r"[.!?。！？][\s\"'”’»)\]]*$"))
 
 
-def folded(field: Column, value: Column) -> Column:
+def folded(field: Column, plain: Column) -> Column:
     """The tokens of a value, without what only decorates it; the same for values that differ only so."""
-    plain = F.regexp_replace(F.lower(_plain(value)), CUT_MARK, "")
+    plain = F.regexp_replace(F.lower(plain), CUT_MARK, "")
     plain = F.when(field == "doi", F.regexp_replace(plain, r"^(?:https?://[^/]+/|doi:\s*)", "")).when(field == "abstract", F.regexp_replace(plain, r"^abstract\s*[:.]?\s+", "")).otherwise(plain)
     return F.trim(F.when(field.isin("doi", "pub_date"), plain).otherwise(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")))
 
@@ -207,17 +206,17 @@ def _ranked(records: DataFrame, priority: DataFrame) -> DataFrame:
     """One row per field of each record, with its place in the order of precedence; text is null where nothing is said."""
     trust = priority.groupBy("source_key", "field_name").agg(F.max("priority").alias("priority"))
     v = field_values(records).join(trust, ["source_key", "field_name"], "left")
-    ok = says_something(F.col("field_name"), F.col("value"))
-    v = v.withColumn("value", F.when(ok, F.col("value")))
+    v = v.withColumn("plain", _plain(F.col("value")))  # each of the following steps reads the one before, once
+    v = v.withColumn("plain", F.when(says_something(F.col("field_name"), F.col("plain")), F.col("plain")))
     return v.select(
         "paper_id", "field_name",
         F.struct(
             (-F.coalesce("priority", F.lit(-1))).cast("int").alias("less_priority"),
             F.coalesce(-F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit(2**62)).alias("less_fetched"),
             "record_id",
-            F.when(F.col("value").isNotNull(), folded(F.col("field_name"), F.col("value"))).alias("text"),
-            marked_cut(F.col("field_name"), F.col("value")).alias("cut"),
-            _plain(F.col("value")).rlike(r"[.!?。！？][\s\"'”’»)\]]*$").alias("ended"),
+            F.when(F.col("plain").isNotNull(), folded(F.col("field_name"), F.col("plain"))).alias("text"),
+            marked_cut(F.col("field_name"), F.col("plain")).alias("cut"),
+            F.col("plain").rlike(r"[.!?。！？][\s\"'”’»)\]]*$").alias("ended"),
             F.lit(1).cast("bigint").alias("votes"),
         ).alias("item"),
     )

@@ -89,4 +89,4 @@ def test_consensus_of_prefixes_is_the_whole(full, n):
 def test_marks(spark, value, cut):
     from pyspark.sql import functions as F
 
-    assert spark.range(1).select(S.marked_cut(F.lit("abstract"), F.lit(value)).alias("x")).first().x is cut
+    assert spark.range(1).select(S.marked_cut(F.lit("abstract"), S._plain(F.lit(value))).alias("x")).first().x is cut
