@@ -106,19 +106,26 @@ def postings(df: DataFrame, id_col: str, fields: Mapping[str, str], *, stemmed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            term, ids, length, ends, pos, label = [], [], [], [0], [], []
             for i, *texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                hits: dict[str, list] = {}
-                at = 0
-                for label, text in zip(labels, texts, strict=True):
+                hits: dict[str, list[tuple[int, str]]] = {}
+                at = size = 0
+                for mark, text in zip(labels, texts, strict=True):
                     found = terms_of(text or "", stemmed=stemmed)
                     for p, t in found:
-                        hits.setdefault(t, []).append({"pos": at + p, "label": label})
+                        hits.setdefault(t, []).append((at + p, mark))
+                    size += len(found)
                     at += (found[-1][0] if found else 0) + 8
-                rows += [(t, i, h, sum(map(len, hits.values()))) for t, h in hits.items()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = [pa.string(), pa.int64(), pa.list_(pa.struct([("pos", pa.int32()), ("label", pa.string())])), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["term", "id", "hits", "length"])
+                for t, h in hits.items():
+                    term.append(t)
+                    pos += [p for p, _ in h]
+                    label += [m for _, m in h]
+                    ends.append(len(pos))
+                ids += [i] * len(hits)
+                length += [size] * len(hits)
+            flat = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(label, pa.string())], ["pos", "label"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(ids, pa.int64()), lists, pa.array(length, pa.int32())], ["term", "id", "hits", "length"])
 
     return df.select(F.col(id_col).cast("bigint").alias("id"), *columns).mapInArrow(run, f"term string, id bigint, hits {_HITS}, length int")
 
