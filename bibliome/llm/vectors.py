@@ -23,7 +23,7 @@ from bibliome.session import cut_lineage
 #: Rows the codebooks are trained on, at most; every row is indexed.
 SAMPLE = 8192
 #: Aimed-at rows of a cell, before each vector is put into several.
-CELL_ROWS = 150
+CELL_ROWS = 240
 #: A cell expected to hold more rows than this is cut further.
 HOT_ROWS = 6000
 
@@ -56,6 +56,23 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
 
 
+def _refined(x: np.ndarray, c1: np.ndarray, c2: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Both coarse codebooks fitted jointly: pairs are chosen anew, then each codeword is the mean of what the other leaves over."""
+    for _ in range(rounds):
+        cell = cells_of(x, Codebooks((c1, c2), (), {}), 1)[:, 0]
+        i, j = cell // len(c2), cell % len(c2)
+        c1 = _means(x - c2[j], i, c1)
+        c2 = _means(x - c1[i], j, c2)
+    return c1, c2
+
+
+def _means(x: np.ndarray, at: np.ndarray, old: np.ndarray) -> np.ndarray:
+    n = np.bincount(at, minlength=len(old))
+    sums = np.zeros_like(old)
+    np.add.at(sums, at, x)
+    return np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], old).astype(np.float32)
+
+
 def train(x: np.ndarray, rows: int, *, books: int = 6, cells: int = 4, seed: int = 7) -> Codebooks:
     """Codebooks from a bounded sample of unit vectors, for a collection of so many rows that each go to so many cells."""
     rng = np.random.default_rng(seed)
@@ -66,12 +83,15 @@ def train(x: np.ndarray, rows: int, *, books: int = 6, cells: int = 4, seed: int
         c = _kmeans(rest, k, rng)
         rest = rest - c[_nearest(rest, c)]
         coarse.append(c)
+    coarse = _refined(x, coarse[0], coarse[1])
+    cell = cells_of(x, Codebooks(coarse, (), {}), 1)[:, 0]
+    rest = x - coarse[0][cell // k] - coarse[1][cell % k]
     fine = []
     for _ in range(books - 2):
         c = _kmeans(rest, min(256, max(4, len(x) // 8)), rng)
         rest = rest - c[_nearest(rest, c)]
         fine.append(c)
-    made = Codebooks((coarse[0], coarse[1]), tuple(fine), {})
+    made = Codebooks(coarse, tuple(fine), {})
     near = cells_of(x, made, cells)
     crowded = {}
     for i, n in zip(*np.unique(near, return_counts=True), strict=True):
