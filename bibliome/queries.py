@@ -190,8 +190,8 @@ def page_after_key(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE is_peer_reviewed AND NOT is_preprint) AS reviewed FROM paper_facts WHERE retraction_status <> 'retracted' OR retraction_status IS NULL")
 def page_total(spark: SparkSession, d: str) -> DataFrame:
     x = filters.filtered(table(spark, d, "paper_facts"), filters.SearchFilters(), {"retraction": "retraction_status"})
-    y = filters.filtered(x, filters.SearchFilters(preprints="exclude", peer_reviewed_only=True), {"preprint": "is_preprint", "reviewed": "is_peer_reviewed"})
-    return x.agg(F.count("*").alias("total")).join(y.agg(F.count("*").alias("reviewed")))
+    narrow = filters.conditions(filters.SearchFilters(preprints="exclude", peer_reviewed_only=True), {"preprint": "is_preprint", "reviewed": "is_peer_reviewed"})
+    return x.agg(F.count("*").alias("total"), F.count_if(narrow[0] & narrow[1]).alias("reviewed"))
 
 
 @query("""SELECT preprint_id, CASE WHEN s IS NULL OR length(s) <= 320 THEN s ELSE rtrim(s[1:320]) || '…' END AS preview
@@ -530,11 +530,13 @@ l AS (SELECT * FROM r WHERE rank <= 50)"""
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
+    """Four stated queries, by whole vectors and by their first halves: scored in one pass over the rows, no join."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id < 4").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    s = e.join(F.broadcast(q.limit(4)))  # four queries
-    both = F.array(F.struct(F.lit("whole").alias("method"), cosine(F.col("embedding"), F.col("qv")).alias("score")), F.struct(F.lit("half").alias("method"), cosine(F.slice("embedding", 1, 32), F.slice("qv", 1, 32)).alias("score")))
-    x = s.select("query", F.col("vec_id").alias("id"), F.explode(both).alias("m")).select("query", "id", "m.*")
+    asked = e.where("vec_id < 4").collect()
+    whole = [(r.vec_id, "whole", F.col("embedding"), F.array(*[F.lit(float(x)) for x in r.embedding])) for r in asked]
+    half = [(r.vec_id, "half", F.slice("embedding", 1, 32), F.array(*[F.lit(float(x)) for x in r.embedding[:32]])) for r in asked]
+    each = F.array(*[F.struct(F.lit(q).cast("bigint").alias("query"), F.lit(m).alias("method"), cosine(v, w).alias("score")) for q, m, v, w in whole + half])
+    x = e.select(F.col("vec_id").alias("id"), F.explode(each).alias("m")).select("m.query", "id", "m.method", "m.score")
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("query", "method").orderBy(F.desc("score"), "id"))).where("rank <= 50")
 
 
@@ -637,10 +639,11 @@ _GRADES = "g AS (SELECT q.vec_id AS query, e.vec_id AS id, CASE WHEN e.label = q
 
 
 def _grades(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label").where("id % 3 <> 0")
-    q = table(spark, d, "embeddings").where("vec_id < 4").select(F.col("vec_id").alias("query"), F.col("label").alias("l"))
-    same = F.when(F.col("label") == F.col("l"), 3).when(F.abs(F.col("label") - F.col("l")) == 1, 1).otherwise(0)
-    return e.join(F.broadcast(q.limit(4))).select("query", "id", same.alias("grade"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    asked = e.where("id < 4").collect()
+    q = F.explode(F.array(*[F.struct(F.lit(r.id).cast("bigint").alias("query"), F.lit(r.label).alias("l")) for r in asked]))
+    same = F.when(F.col("label") == F.col("q.l"), 3).when(F.abs(F.col("label") - F.col("q.l")) == 1, 1).otherwise(0)
+    return e.where("id % 3 <> 0").select("id", "label", q.alias("q")).select("q.query", "id", same.alias("grade"))
 
 
 @query(f"""WITH {_LISTS}, {_GRADES}, j AS (SELECT l.query, l.method, l.rank, coalesce(g.grade, 0) AS g FROM l LEFT JOIN g USING (query, id)), o AS (SELECT query, grade, row_number() OVER (PARTITION BY query ORDER BY grade DESC, id) AS place FROM g),
