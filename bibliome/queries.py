@@ -49,7 +49,61 @@ _DOI = "nullif(lower(regexp_replace(regexp_extract({c}, '(?i)(10\\.\\d{{4,9}}/[^
 # ---- several values in one cell, nested records ------------------------------------------------------------------------------
 
 
-@query()
+def _unpack_sql() -> str:
+    """The splitting of packed cells in SQL: the same folds over pieces between quotes; noncharacters stand for marks."""
+    end, opening, closing, lone = (f"chr({n})" for n in range(64976, 64980))
+    hidden = [(";", 64980), ("|", 64981), (",", 64982), ('"', 64983), ("；", 64984), ("\\", 64985)]
+    space = r"[\s\p{Z}\x{FEFF}\x{200B}]"
+    trim = lambda x: f"regexp_replace({x}, '^{space}+|{space}+$', '', 'g')"
+
+    def hide(x: str) -> str:
+        for char, n in reversed(hidden):
+            x = f"replace({x}, '\\{char}', chr({n}))"
+        return x
+
+    def show(x: str) -> str:
+        x = f"replace({x}, {closing} || {opening}, '\"')"
+        for mark in (opening, closing, lone):
+            x = f"replace({x}, {mark}, '\"')"
+        for char, n in hidden:
+            x = f"replace({x}, chr({n}), '{char}')"
+        return x
+
+    def cut(patterns: list[tuple[str, str]]) -> str:
+        x = "p"
+        for pattern, new in patterns:
+            x = f"regexp_replace({x}, '{pattern}', {new}, 'g')"
+        return f"string_split(array_to_string(list_transform(pieces, lambda p, i: CASE WHEN i % 2 = 1 THEN {x} ELSE {opening} || p || {closing} END), ''), {end})"
+
+    def values(raw: str) -> str:
+        full = f"list_filter(list_transform({raw}, lambda v: {trim('v')}), lambda v: length(replace(replace(v, {opening}, ''), {closing}, '')) > 0)"
+        unnumbered = "regexp_replace(v, '^\\(\\d+\\)', '')"
+        numbered = f"list_transform({full}, lambda v, i: CASE WHEN regexp_extract(v, '^\\((\\d{{1,4}})\\)', 1) = CAST(i AS VARCHAR) THEN {trim(unnumbered)} ELSE v END)"
+        bare = f"CASE WHEN left(v, 1) = {opening} AND right(v, 1) = {closing} AND NOT regexp_matches(v, {closing} || '[^' || {opening} || ']+' || {opening}) THEN v[2:length(v) - 1] ELSE v END"
+        return f"list_filter(list_transform({numbered}, lambda v: {trim(show('(' + bare + ')'))}), lambda v: length(v) > 0)"
+
+    primary = cut([("(^|\\s)//", f"'\\1' || {end}"), ("//(\\s|$)", f"{end} || '\\1'"), ("[;；|\\t\\r\\n•]", end)])
+    comma, whole = cut([(",", end)]), f"[array_to_string(list_transform(pieces, lambda p, i: CASE WHEN i % 2 = 1 THEN p ELSE {opening} || p || {closing} END), '')]"
+    joint = cut([("\\s*,\\s*(?:and|&)\\s+|\\s*,\\s*|\\s+(?:and|&)\\s+", end)])
+    name = trim(show("v"))
+    fields = " UNION ALL ".join(f"SELECT notice_id, '{f}' AS field_name, {f} AS cell FROM retraction_notice" for f in ("subject", "reason", "author", "institution"))
+    return f"""WITH c AS ({fields}), t AS (SELECT notice_id, field_name, {trim('cell')} AS t FROM c),
+e AS (SELECT *, CASE WHEN regexp_matches(t, '(?s)^\\[\\s*".*"\\s*\\]$') THEN try_cast(try_cast(t AS JSON) AS VARCHAR[]) END AS j, {hide('t')} AS e FROM t WHERE length(t) > 0),
+s AS (SELECT *, string_split(CASE WHEN (length(e) - length(replace(e, '"', ''))) % 2 = 1 THEN regexp_replace(e, '"([^"]*)$', {lone} || '\\1') ELSE e END, '"') AS pieces FROM e),
+o AS (SELECT *, array_to_string(list_filter(pieces, lambda p, i: i % 2 = 1), {lone}) AS outside, {comma} AS commas FROM s),
+w AS (SELECT *, regexp_matches(outside, '[;；|\\t\\r\\n•]|(^|\\s)//|//(\\s|$)') AS has FROM o),
+k AS (SELECT *, CASE WHEN j IS NOT NULL THEN 'json' WHEN has THEN 'primary' WHEN field_name = 'author' AND regexp_matches(outside, '\\s(and|&)\\s') THEN 'joint'
+  WHEN contains(outside, ',') AND ((len(commas) > 1 AND list_bool_or(list_transform(commas, lambda v: left({trim('v')}, 1) = {opening} AND right({trim('v')}, 1) = {closing})))
+    OR (field_name = 'author' AND list_bool_and(list_transform(commas, lambda v: length({trim('v')}) = 0 OR (len(regexp_split_to_array({name}, '\\s+')) > 1 AND NOT regexp_matches({name}, '\\s\\p{{Lu}}\\.?$')))))) THEN 'comma'
+  WHEN contains(outside, ',') AND field_name IN ('subject', 'reason') THEN 'ask' ELSE 'one' END AS way FROM w),
+v AS (SELECT notice_id, field_name, t, way, CASE way WHEN 'json' THEN list_filter(list_transform(j, lambda v: {trim('v')}), lambda v: length(v) > 0) WHEN 'primary' THEN {values(primary)} WHEN 'joint' THEN {values(joint)} WHEN 'comma' THEN {values(comma)} ELSE {values(whole)} END AS items, {values(comma)} AS parts FROM k),
+known AS (SELECT DISTINCT field_name, unnest(items) AS item FROM v WHERE way <> 'ask'),
+kl AS (SELECT field_name, list(item) AS items FROM known GROUP BY field_name),
+r AS (SELECT notice_id, v.field_name, CASE WHEN way = 'ask' AND NOT list_has_any(kl.items, v.items) AND list_has_all(kl.items, parts) THEN parts ELSE v.items END AS items FROM v LEFT JOIN kl ON kl.field_name = v.field_name)
+SELECT notice_id, field_name, unnest(items) AS item, generate_subscripts(items, 1) AS pos FROM r"""
+
+
+@query(_unpack_sql())
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return notice_values(table(spark, d, "retraction_notice"))
 
