@@ -182,6 +182,8 @@ class Diversity:
     exploration_share: float = 0.15
     exploration_floor: float = 0.5
     same: float = 0.95
+    #: What makes two papers alike: 'vector' (cosine) or 'topics' (shared part of their topics); unknown counts as unlike.
+    by: str = "vector"
 
 
 def _reorder(rows: list[dict], limit: int, d: Diversity) -> list[int]:
@@ -197,6 +199,14 @@ def _reorder(rows: list[dict], limit: int, d: Diversity) -> list[int]:
     picked: list[int] = []
     explored = 0
 
+    def alike(i: int, j: int) -> float:
+        if d.by == "topics":
+            a, b = set(rows[i]["topics"] or ()), set(rows[j]["topics"] or ())
+            return len(a & b) / len(a | b) if a and b else 0.0
+        if v[i] is None or v[j] is None or v[i].shape != v[j].shape:
+            return 0.0
+        return min(1.0, max(0.0, float(v[i] @ v[j])))
+
     def allowed(i: int, strict: bool) -> bool:
         r = rows[i]
         if r["exploring"] and (explored >= int(limit * d.exploration_share) or r["score"] < floor):
@@ -222,8 +232,7 @@ def _reorder(rows: list[dict], limit: int, d: Diversity) -> list[int]:
         for t in rows[best]["topics"] or ():
             topics[t] = topics.get(t, 0) + 1
         for i in order:
-            if v[i] is not None and v[best] is not None and v[i].shape == v[best].shape:
-                near[i] = max(near[i], min(1.0, max(0.0, float(v[i] @ v[best]))))
+            near[i] = max(near[i], alike(i, best))
     return picked
 
 

@@ -509,10 +509,10 @@ def best_locations(spark: SparkSession, d: str) -> DataFrame:
 # ---- sets --------------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT paper_id, list_sort(list_distinct(flatten(list(topic_ids)))) AS topics FROM paper_facts WHERE paper_id IS NOT NULL AND topic_ids IS NOT NULL GROUP BY paper_id")
+@query("SELECT paper_id, array_to_string(list_sort(list_distinct(flatten(list(topic_ids)))), ',') AS topics FROM paper_facts WHERE paper_id IS NOT NULL AND topic_ids IS NOT NULL GROUP BY paper_id")
 def set_topic_union(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "paper_facts").where("paper_id IS NOT NULL AND topic_ids IS NOT NULL").groupBy("paper_id")
-    return x.agg(F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("topic_ids"))))).alias("topics"))
+    return x.agg(F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("topic_ids"))))), ",").alias("topics"))
 
 
 @query("SELECT paper_id FROM (SELECT paper_id FROM paper_facts WHERE is_preprint INTERSECT SELECT paper_id FROM source_record WHERE source_key = 'arxiv') EXCEPT SELECT paper_id FROM source_record WHERE source_key = 'pubmed'")
@@ -667,10 +667,10 @@ def reco_seen_fatigue(spark: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", "item", F.round(scores.seen_fatigue(days), 6).alias("fatigue"))
 
 
-@query(f"SELECT item AS id, count(DISTINCT event_type) AS agreement, list_sort(list_distinct(list(event_type))) AS origins FROM {_EVENTS} WHERE event_type IN {POSITIVE} GROUP BY item")
+@query(f"SELECT item AS id, count(DISTINCT event_type) AS agreement, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS origins FROM {_EVENTS} WHERE event_type IN {POSITIVE} GROUP BY item")
 def reco_pool(spark: SparkSession, d: str) -> DataFrame:
     c = _events(spark, d).where(F.col("event_type").isin(*POSITIVE)).groupBy(F.col("item").alias("id"), F.col("event_type").alias("origin")).agg(F.count("*").cast("double").alias("strength"))
-    return recommend.pooled(c).select("id", "agreement", F.transform("origins", lambda o: o.origin).alias("origins"))
+    return recommend.pooled(c).select("id", "agreement", F.array_join(F.transform("origins", lambda o: o["origin"]), ",").alias("origins"))
 
 
 _NOW = "TIMESTAMP '2024-02-01'"
@@ -709,9 +709,9 @@ def eval_precision_recall_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
     return m.select("query", "method", *[F.round(c, 6).alias(c) for c in ("rr", "precision_10", "recall_10", "ndcg_10")])
 
 
-@query(f"WITH {_LISTS} SELECT query, id, list_sort(list_distinct(list(method))) AS methods FROM l GROUP BY query, id")
+@query(f"WITH {_LISTS} SELECT query, id, array_to_string(list_sort(list_distinct(list(method))), ',') AS methods FROM l GROUP BY query, id")
 def eval_pool(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.pool(_lists(spark, d))
+    return evaluation.pool(_lists(spark, d)).withColumn("methods", F.array_join("methods", ","))
 
 
 @query(f"WITH {_LISTS}, {_GRADES}, p AS (SELECT query, count(*) AS pooled, count(g.grade) AS judged FROM (SELECT DISTINCT query, id FROM l) x LEFT JOIN g USING (query, id) GROUP BY query) SELECT l.query, method, any_value(pooled) AS pooled, any_value(judged) AS judged, count(*) FILTER (WHERE g.grade IS NULL) AS unjudged FROM l LEFT JOIN g USING (query, id) JOIN p ON p.query = l.query WHERE rank <= 10 GROUP BY l.query, method")
@@ -721,11 +721,11 @@ def eval_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT user_id AS query, CAST(json_extract_string(props, '$.k') AS BIGINT) AS id, max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 1 END) AS grade, list_sort(list_distinct(list(event_type))) AS methods FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
 b AS (SELECT user_id AS query, CAST(json_extract_string(props, '$.k') AS BIGINT) AS id, max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 1 END) AS grade, list_sort(list_distinct(list(event_type))) AS methods FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)
-SELECT coalesce(a.query, b.query) AS query, coalesce(a.id, b.id) AS id, coalesce(a.grade, b.grade) AS grade, list_sort(list_distinct(list_concat(coalesce(a.methods, []), coalesce(b.methods, [])))) AS methods FROM a FULL JOIN b ON a.query = b.query AND a.id = b.id""")
+SELECT coalesce(a.query, b.query) AS query, coalesce(a.id, b.id) AS id, coalesce(a.grade, b.grade) AS grade, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.methods, []), coalesce(b.methods, [])))), ',') AS methods FROM a FULL JOIN b ON a.query = b.query AND a.id = b.id""")
 def eval_merge_judgments(spark: SparkSession, d: str) -> DataFrame:
     grade = F.max(F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "click", 1)).alias("grade")
     half = lambda n: _events(spark, d).where(F.col("event_id") % 2 == n).groupBy(F.col("user_id").alias("query"), F.col("item").alias("id")).agg(grade, F.array_sort(F.collect_set("event_type")).alias("methods"))
-    return evaluation.merged_judgments(half(0), half(1))
+    return evaluation.merged_judgments(half(0), half(1)).withColumn("methods", F.array_join("methods", ","))
 
 
 @query(f"""WITH s AS (SELECT source_key AS feed, p.facts_id, p.topic_ids, p.feed_date, p.venue_name FROM (SELECT DISTINCT source_key, paper_id FROM source_record WHERE paper_id IS NOT NULL) r JOIN paper_facts p USING (paper_id)),

@@ -31,6 +31,7 @@ def test_near_duplicates_are_dropped_and_caps_relax(spark):
     loose = df.withColumn("vector", F.lit(None).cast("array<double>"))
     assert len(R.diversified(loose, 5).collect()) == 5
     assert R.diversified(df.limit(0), 5).count() == 0
+    assert [r.id for r in R.diversified(df, 5, R.Diversity(by="topics")).collect()] == [0]  # all share their one topic
 
 
 def test_features_are_bounded_and_score(spark):
