@@ -444,7 +444,9 @@ def dedup_components(spark: SparkSession, d: str) -> DataFrame:
     return components(k.join(hub, "i").select("id", "hub"), "id", "hub")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINKS}, r AS (SELECT id, min(component) AS component FROM c GROUP BY id), x AS (SELECT a.article_id AS record, {_DOI.format(c='a.doi')} AS doi, coalesce(r.component, a.article_id) AS component FROM epmc_article a LEFT JOIN r ON r.id = a.article_id),
+s AS (SELECT k.i, x.component, min(x.doi) AS near FROM k JOIN x ON x.record = k.id WHERE x.doi IS NOT NULL AND k.i IS NOT NULL GROUP BY 1, 2), n AS (SELECT x.record, min(s.near) AS near FROM x JOIN k ON k.id = x.record JOIN s ON s.i = k.i AND s.component = x.component WHERE x.doi IS NULL GROUP BY 1),
+l AS (SELECT component, min(doi) AS least FROM x GROUP BY 1) SELECT x.record, min(x.record) OVER (PARTITION BY x.component, coalesce(x.doi, n.near, l.least, '')) AS paper FROM x LEFT JOIN n ON n.record = x.record LEFT JOIN l ON l.component = x.component""")
 def resolve_papers(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "epmc_article")
     records = a.select(F.col("article_id").alias("record"), ids.doi(F.col("doi")).alias("doi"))
@@ -498,7 +500,12 @@ def relation_edges(spark: SparkSession, d: str) -> DataFrame:
     return corpus.edges(n.select("from_doi", "to_doi"), a.unionByName(own))
 
 
-@query()
+@query(
+    _PAYLOADS
+    + """, u AS (SELECT origin || ':' || parent_id AS paper, m ->> '$.url' AS url, CASE m ->> '$.site' WHEN 'Repository' THEN 'repository' WHEN 'DOI' THEN 'publisher' ELSE 'unknown' END AS host_type, lower(m ->> '$.availability') AS licence, CASE WHEN m ->> '$.documentStyle' = 'pdf' THEN m ->> '$.url' END AS pdf_url, pos AS at FROM members WHERE child = 'full_text_url' AND json_type(m) = 'OBJECT' AND m ->> '$.url' IS NOT NULL),
+o AS (SELECT paper, url, arg_min(host_type, at) AS host_type, arg_min(licence, at) FILTER (WHERE licence IS NOT NULL) AS licence, arg_min(pdf_url, at) FILTER (WHERE pdf_url IS NOT NULL) AS pdf_url, min(at) AS at FROM u GROUP BY paper, url)
+SELECT *, row_number() OVER (PARTITION BY paper ORDER BY CASE host_type WHEN 'publisher' THEN 3 WHEN 'repository' THEN 2 ELSE 0 END DESC, CASE licence WHEN 'cc0' THEN 4 WHEN 'cc-by' THEN 3 ELSE 0 END DESC, at, url) = 1 AS is_best FROM o"""
+)
 def best_locations(spark: SparkSession, d: str) -> DataFrame:
     x = payload_children(*_payloads(spark, d), ("full_text_url",)).where("url IS NOT NULL")
     host = F.when(F.col("site") == "Repository", "repository").when(F.col("site") == "DOI", "publisher").otherwise("unknown")
