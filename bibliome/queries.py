@@ -502,15 +502,15 @@ def relation_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _PAYLOADS
-    + """, u AS (SELECT origin || ':' || parent_id AS paper, m ->> '$.url' AS url, CASE m ->> '$.site' WHEN 'Repository' THEN 'repository' WHEN 'DOI' THEN 'publisher' ELSE 'unknown' END AS host_type, lower(m ->> '$.availability') AS licence, CASE WHEN m ->> '$.documentStyle' = 'pdf' THEN m ->> '$.url' END AS pdf_url, pos AS at FROM members WHERE child = 'full_text_url' AND json_type(m) = 'OBJECT' AND m ->> '$.url' IS NOT NULL),
-o AS (SELECT paper, url, arg_min(host_type, at) AS host_type, arg_min(licence, at) FILTER (WHERE licence IS NOT NULL) AS licence, arg_min(pdf_url, at) FILTER (WHERE pdf_url IS NOT NULL) AS pdf_url, min(at) AS at FROM u GROUP BY paper, url)
-SELECT *, row_number() OVER (PARTITION BY paper ORDER BY CASE host_type WHEN 'publisher' THEN 3 WHEN 'repository' THEN 2 ELSE 0 END DESC, CASE licence WHEN 'cc0' THEN 4 WHEN 'cc-by' THEN 3 ELSE 0 END DESC, at, url) = 1 AS is_best FROM o"""
+    + """, u AS (SELECT origin || ':' || parent_id AS paper, m ->> '$.url' AS url, CASE m ->> '$.site' WHEN 'Repository' THEN 'repository' WHEN 'DOI' THEN 'publisher' ELSE 'unknown' END AS host_type, lower(m ->> '$.availability') AS licence, CASE WHEN m ->> '$.documentStyle' = 'pdf' THEN m ->> '$.url' END AS pdf_url, pos AS arrived FROM members WHERE child = 'full_text_url' AND json_type(m) = 'OBJECT' AND m ->> '$.url' IS NOT NULL),
+o AS (SELECT paper, url, arg_min(host_type, arrived) AS host_type, arg_min(licence, arrived) FILTER (WHERE licence IS NOT NULL) AS licence, arg_min(pdf_url, arrived) FILTER (WHERE pdf_url IS NOT NULL) AS pdf_url, min(arrived) AS arrived FROM u GROUP BY paper, url)
+SELECT paper, url, host_type, licence, pdf_url, arrived, row_number() OVER (PARTITION BY paper ORDER BY CASE host_type WHEN 'publisher' THEN 3 WHEN 'repository' THEN 2 ELSE 0 END DESC, CASE licence WHEN 'cc0' THEN 4 WHEN 'cc-by' THEN 3 ELSE 0 END DESC, arrived, url) = 1 AS is_best FROM o"""
 )
 def best_locations(spark: SparkSession, d: str) -> DataFrame:
     x = payload_children(*_payloads(spark, d), ("full_text_url",)).where("url IS NOT NULL")
     host = F.when(F.col("site") == "Repository", "repository").when(F.col("site") == "DOI", "publisher").otherwise("unknown")
     pdf = F.when(F.col("document_style") == "pdf", F.col("url"))
-    return corpus.best_locations(x.select(F.concat_ws(":", "origin", "parent_id").alias("paper"), "url", host.alias("host_type"), F.lower("availability").alias("licence"), pdf.alias("pdf_url"), F.col("pos").alias("at")))
+    return corpus.best_locations(x.select(F.concat_ws(":", "origin", "parent_id").alias("paper"), "url", host.alias("host_type"), F.lower("availability").alias("licence"), pdf.alias("pdf_url"), F.col("pos").alias("at"))).withColumnRenamed("at", "arrived")
 
 
 # ---- sets --------------------------------------------------------------------------------------------------------------------------------------
