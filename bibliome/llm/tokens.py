@@ -60,6 +60,8 @@ class Automaton:
     def _add_gadget(self, rank: int, left: bytes, right: bytes) -> None:
         """The gadget of one merge: the path left-right is replaced by one arc, whose state is entered as left and left as right."""
         a, b = self.ids[left], self.ids[right]
+        if not self._meet(a, b):  # an earlier merge always parts the two, so that this one never happens
+            return
         self.rank.setdefault((a, b), rank)
         made = self.ids.get(left + right)
         if made is None or self._made[made]:
@@ -85,21 +87,22 @@ class Automaton:
         key = state * self.size + token
         known = self.arcs.get(key)
         if known is None:
-            rank = self.rank
-            known = True
-            for e, used in self.ends[state]:
-                for s, taken in self.starts[token]:
-                    r = rank.get((e, s))
-                    if r is not None and r < used and r <= taken:
-                        known = False
-                        break
-                if not known:
-                    break
+            known = self._meet(state, token)
             if len(self.arcs) > _KEPT:
                 self.arcs.clear()
             self.arcs[key] = known
         return known
 
+    def _meet(self, left: int, right: int) -> bool:
+        """Whether the two can stand side by side: no end piece of the one was merged with a start piece of the other in time."""
+        rank = self.rank
+        for e, used in self.ends[left]:
+            for s, taken in self.starts[right]:
+                r = rank.get((e, s))
+                if r is not None and r < used and r <= taken:
+                    return False
+        return True
+
     def encode_bytes(self, w: bytes) -> tuple[int, ...]:
         whole = self.ids.get(w)
         if whole is not None and (len(w) == 1 or self._made[whole]):
