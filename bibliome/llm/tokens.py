@@ -60,7 +60,8 @@ class Automaton:
     def _add_gadget(self, rank: int, left: bytes, right: bytes) -> None:
         """The gadget of one merge: the path left-right is replaced by one arc, whose state is entered as left and left as right."""
         a, b = self.ids[left], self.ids[right]
-        if not self._meet(a, b):  # an earlier merge always parts the two, so that this one never happens
+        whole = all(len(p) == 1 or self._made[i] for p, i in ((left, a), (right, b)))
+        if not whole or not self._meet(a, b):  # a part never comes about, or an earlier merge always parts the two
             return
         self.rank.setdefault((a, b), rank)
         made = self.ids.get(left + right)
