@@ -1,9 +1,11 @@
-"""Most similar vectors for every vector, by additive quantisation.
+"""Most similar vectors for every vector by comparing all, and for stated queries by additive quantisation.
 
-A vector is the sum of one codeword from each of several full-dimensional codebooks; codes are found by beam search. The first
-two codebooks together name an inverted list (a cell), and a vector goes to the few cells whose codeword sums are nearest to
-it. Within a cell, candidates are scored from lookup tables of query-codeword products and stored norms, and the best of them
-are ranked again by their exact cosine. Exact copies are searched once and share what was found.
+For every vector, rows are met block by block and ranked by their exact cosine; no list or sample decides who meets whom. Exact
+copies are searched once and share what was found.
+
+For stated queries a vector is the sum of one codeword from each of several full-dimensional codebooks; codes are found by beam
+search. All rows are scored from lookup tables of query-codeword products and stored norms, and the best of each block are
+ranked again by their exact cosine.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ SAMPLE = 8192
 CELL_ROWS = 240
 #: A cell expected to hold more rows than this is cut further.
 HOT_ROWS = 6000
+#: Aimed-at rows of a block, where all rows are compared.
+BLOCK_ROWS = 32768
+#: More than products of 32-bit unit vectors can be wrong.
+SLACK = 1e-5
 
 
 @dataclass(frozen=True)
@@ -203,78 +209,83 @@ def trained(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, books
     return train(unit(_ints(raw["v"], dim)), rows, books=books) if raw.num_rows else None
 
 
-def _neighbours(x: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, b: Codebooks, k: int, min_sim: float, again: int) -> tuple[list, list, list]:
-    """Within one inverted list: each row's k best others by exact cosine among the `again` best by lookup tables."""
+def _best(who: np.ndarray, other: np.ndarray, cos: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest others of each `who`, ties to the smaller of the others' ids."""
+    order = np.lexsort((ids[other], -cos, who))
+    who, other, cos = who[order], other[order], cos[order]
+    start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
+    place = np.arange(len(who)) - np.repeat(start, np.diff(np.r_[start, len(who)]))
+    return who[place < k], other[place < k], cos[place < k]
+
+
+def _neighbours(x: np.ndarray, ids: np.ndarray, left: int, k: int, min_sim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every row's k best others by exact cosine, where the first `left` rows meet the rest; with no rest they meet each other.
+
+    Products of 32-bit unit vectors only leave out what surely isn't among a row's k best: they keep what lies within SLACK.
+    """
     u, exact = unit(x), x.astype(np.float64)
     length = np.sqrt((exact * exact).sum(1))
-    again = min(again, len(x) - 1)
-    who, others, sims = [], [], []
-    for s in range(0, len(x), 512):
-        e = min(s + 512, len(x))
-        near = scores(tables(u[s:e], b), codes, norms)
-        near[np.arange(e - s), np.arange(s, e)] = -np.inf
-        cand = np.argpartition(-near, again - 1, axis=1)[:, :again] if again < len(x) - 1 else np.argsort(-near, axis=1)[:, :again]
-        cos = np.empty(cand.shape)
-        for t in range(0, e - s, 64):
-            part = cand[t : t + 64]
-            rows = slice(s + t, s + t + len(part))
-            cos[t : t + 64] = np.einsum("qcd,qd->qc", exact[part], exact[rows]) / (length[part] * length[rows, None])
-        for r in range(e - s):
-            ok = np.flatnonzero(cos[r] >= min_sim)
-            if len(ok):
-                best = ok[np.lexsort((ids[cand[r][ok]], -cos[r][ok]))][:k]
-                who.append(ids[s + r])
-                others.append(ids[cand[r][best]].tolist())
-                sims.append(cos[r][best].tolist())
-    return who, others, sims
-
-
-def nearest_in_cells(reps: DataFrame, b: Codebooks, dim: int, k: int, min_sim: float, cells: int, again: int) -> DataFrame:
-    """reps(id, v), all different -> (id, near array<struct<less, id>>): less is the negative cosine."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for s in range(0, big.num_rows, 2048):
-                part = big.slice(s, 2048)
-                x = unit(_ints(part.column(1), dim))
-                codes, norms = encode(x, b)
-                row, key = keys_of(x, b, cells)
-                code = pa.array([c.tobytes() for c in codes], pa.binary())
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(at), part.column(1).take(at), code.take(at), pa.array(norms).take(at)], ["key", "id", "v", "code", "norm"])
+    alone = left == len(x)
+    floor = np.full(len(x), min_sim - SLACK, np.float32)  # a row's k-th best so far, less SLACK
+    kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    for s in range(0, left, 256):
+        e = min(s + 256, left)
+        at = s if alone else left
+        near = u[s:e] @ u[at:].T
+        if alone:
+            near[np.tril_indices(e - s)] = -np.inf
+        hit = near >= min_sim - SLACK
+        if np.count_nonzero(hit) > 64 * (e - s):
+            if near.shape[1] > k:
+                floor[s:e] = np.maximum(floor[s:e], np.partition(near, -k, axis=1)[:, -k] - SLACK)
+            if e - s > k:
+                floor[at:] = np.maximum(floor[at:], np.partition(near, -k, axis=0)[-k] - SLACK)
+            hit = (near >= floor[s:e, None]) | (near >= floor[at:])
+            if alone:
+                hit &= near > -np.inf
+        q, d = np.nonzero(hit)
+        q, d = q + s, d + at
+        cos = np.concatenate([np.einsum("pd,pd->p", exact[q[t : t + 8192]], exact[d[t : t + 8192]]) for t in range(0, len(q), 8192)] or [np.zeros(0)]) / (length[q] * length[d])
+        ok = cos >= min_sim
+        q, d, cos = q[ok], d[ok], cos[ok]
+        kept = tuple(np.concatenate(c) for c in zip(kept, (q, d, cos), (d, q, cos), strict=True))
+        if len(kept[0]) > 4 * k * len(x):
+            kept = _best(*kept, ids, k)
+    return _best(*kept, ids, k)
+
+
+def nearest_in_blocks(reps: DataFrame, rows: int, dim: int, k: int, min_sim: float) -> DataFrame:
+    """reps(id, v), all different, at most so many rows -> (id, near array<struct<less, id>>): less is the negative cosine.
+
+    Every row meets every other once: rows are hashed to blocks of about BLOCK_ROWS, and each pair of blocks is one group.
+    """
+    blocks = max(1, math.ceil(rows / BLOCK_ROWS))
 
     def search(group: pa.Table) -> pa.Table:
-        ids = group["id"].to_numpy()
-        if len(ids) > 1:
-            codes = np.frombuffer(b"".join(group["code"].to_pylist()), np.uint16).reshape(len(ids), -1)
-            who, others, sims = _neighbours(_ints(group["v"], dim), ids, codes, group["norm"].to_numpy(), b, k, min_sim, again)
-        else:
-            who, others, sims = [], [], []
-        return pa.table([pa.array(who, pa.int64()), pa.array(others, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))], ["id", "others", "sims"])
+        first = group["first"].to_numpy()
+        order = np.argsort(~first, kind="stable")
+        ids = group["id"].to_numpy()[order]
+        x = _ints(group["v"], dim)[order]
+        who, other, cos = _neighbours(x, ids, int(first.sum()), k, min_sim) if 0 < first.sum() else ([], [], [])
+        return pa.table([pa.array(ids[who] if len(who) else [], pa.int64()), pa.array(ids[other] if len(who) else [], pa.int64()), pa.array(-cos if len(who) else [], pa.float64())], ["id", "other", "less"])
 
-    placed = reps.mapInArrow(place, "key bigint, id bigint, v binary, code binary, norm float")
-    found = placed.groupBy("key").applyInArrow(search, "id bigint, others array<bigint>, sims array<double>")
-    each = F.flatten(F.collect_list(F.expr("transform(others, (o, i) -> struct(-sims[i] AS less, o AS id))")))
-    return found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(each)), 1, k).alias("near"))
+    own = reps.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    met = own.select("id", "v", "b", every.alias("o")).select((F.least("b", "o") * blocks + F.greatest("b", "o")).alias("pair"), "id", "v", (F.col("b") <= F.col("o")).alias("first"))
+    found = met.groupBy("pair").applyInArrow(search, "id bigint, other bigint, less double")
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("less", F.col("other").alias("id")))), 1, k).alias("near"))
 
 
-def similar_rows(df: DataFrame, id_col: str, vec_col: str, *, dim: int = 96, k: int = 5, min_sim: float = 0.8, cells: int = 4, again: int = 48, books: int = 6) -> DataFrame:
-    """(id, other, similarity): each row's k most similar rows whose cosine is at least min_sim.
+def similar_rows(df: DataFrame, id_col: str, vec_col: str, *, dim: int = 96, k: int = 5, min_sim: float = 0.8) -> DataFrame:
+    """(id, other, similarity): each row's k most similar rows whose cosine is at least min_sim, all rows being compared.
 
     Ties go to the smaller id. Unusable vectors (null, of another length, with a null or non-finite element, all zero) take no
     part. Copies, which are vectors of one direction, are searched once; of a class of copies each row has the others first.
     """
-    spark = df.sparkSession
-    empty = spark.createDataFrame([], "id bigint, other bigint, similarity double")
     rows = df.count()
-    b = trained(df, id_col, vec_col, dim, rows, books) if rows else None
-    if b is None and (not rows or usable_vectors(df, id_col, vec_col, dim).isEmpty()):
-        return empty
     u = cut_lineage(usable_vectors(df, id_col, vec_col, dim))
-    if b is None:
-        b = train(unit(_ints(u.limit(SAMPLE).toArrow()["v"], dim)), rows, books=books)
     classes = u.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    near = nearest_in_cells(classes.select("id", "v"), b, dim, k, min_sim, cells, again)
+    near = nearest_in_blocks(classes.select("id", "v"), rows, dim, k, min_sim)
     several = classes.where("n > 1").select("v", F.col("id").alias("rep"))
     members = u.join(several, "v").select("rep", "id")
     first = (

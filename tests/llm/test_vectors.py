@@ -74,3 +74,17 @@ def test_crowded_cells_are_cut_and_codes_approximate(monkeypatch):
     assert ((x - made) ** 2).sum(1).mean() < ((x - x.mean(0)) ** 2).sum(1).mean() * 0.6
     approx = V.scores(V.tables(x[:5], b), codes, norms)
     assert np.allclose(approx, x[:5] @ made.T - 0.5 * norms, atol=1e-4)
+
+
+def test_no_pair_is_lost_among_many_cells_or_in_a_dense_region(spark, monkeypatch):
+    monkeypatch.setattr(V, "CELL_ROWS", 12)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 900, raising=False)
+    rng = np.random.default_rng(5)
+    groups = np.repeat(rng.normal(size=(300, 96)), 5, axis=0) + 0.45 * rng.normal(size=(1500, 96))
+    dense = rng.normal(size=(1, 96)) + 0.4 * rng.normal(size=(700, 96))
+    x = np.vstack([groups, dense, rng.normal(size=(300, 96))]).astype(np.float32)
+    ids = list(range(len(x)))
+    got = {tuple(r) for r in V.similar_pairs(frame(spark, zip(ids, x.tolist(), strict=True)), "facts_id", "vector").collect()}
+    q = np.rint(x / np.abs(x).max(1, keepdims=True) * 32767).astype(float)
+    want = brute(ids, q, 5, 0.8)
+    assert len(want) > 4000 and got == want
