@@ -54,6 +54,14 @@ def surname(name: Column) -> Column:
     return F.nullif(fold_title(part), F.lit(""))
 
 
+def first_surname(listed: Column) -> Column:
+    """The folded family name of the first of 'Family AB, Family C.': what stands before the initials, all of it; a name without
+    initials is read as surname() does."""
+    first = F.trim(F.split(listed, ", ")[0])
+    before = F.regexp_extract(first, r"^(.*?)(?:\s+\p{Lu}{1,3}(?:-\p{Lu})?)+[.\s]*$", 1)
+    return F.when(F.length(before) > 0, F.nullif(fold_title(before), F.lit(""))).otherwise(surname(first))
+
+
 def surnames(names: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(names, surname)))
 

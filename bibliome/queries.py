@@ -432,6 +432,13 @@ def dedup_trigram_pairs(spark: SparkSession, d: str) -> DataFrame:
     return corpus.fuzzy_pairs(p).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def dedup_trigram_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every article with a title and authors, by the operator's own title folding and surname."""
+    x = table(spark, d, "epmc_article").select(F.col("article_id").alias("id"), "title", text.first_surname(F.col("author_string")).alias("surname"), F.expr("try_cast(pub_year AS int)").alias("year"), "doi")
+    return corpus.fuzzy_pairs(x).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 _LINKS = f"""k AS (SELECT article_id AS id, unnest([{_DOI.format(c='doi')}, 'pmid:' || pmid, 'pmcid:' || pmcid]) AS i FROM epmc_article), e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.i = b.i WHERE a.i IS NOT NULL),
 c AS (SELECT a AS id, a AS component FROM e UNION SELECT e.b, c.component FROM c JOIN e ON e.a = c.id)"""
 

@@ -66,6 +66,30 @@ def test_fuzzy_pairs_against_brute_force(spark):
     assert corpus.fuzzy_pairs(spark.createDataFrame([(1, "Errata", "x", None, None), (2, "Errata", "x", None, None)], df.schema)).count() == 0
 
 
+def test_fuzzy_pairs_of_titles_and_authors_in_any_script(spark, tmp_path):
+    from bibliome import queries
+
+    data = [
+        (1, "Modèle de protéines β-amyloïdes", "Fójifelin H, Doe A.", "2001", None), (2, "Modele de proteines β-amyloides", "FÓJIFELIN H.", "2001", None),
+        (3, "海洋堆積物的深層模型研究", "van der Jigusonik PA, Li B", None, None), (4, "海洋堆積物的深層模型研究", "van der Jigusonik P.", "1999", None),
+        (5, "A survey of sediments — part one", "Kepo-Gepo IM", "2010", "10.1/a"), (6, "A survey of sediments – part one", "Kepo-Gepo I.", "2011", "10.1/a"),
+        (7, "A survey of sediments – part one", "van der Gepo I.", "2011", None), (8, "A survey of sediments – part one", None, "2011", None), (9, None, "Kepo-Gepo I.", "2011", None),
+        (10, "A survey of sediments - part one", "Kepo-Gepo I", "2011", "10.1/b"), (11, "A survey of sediments - part one", "Kepo-Gepo I", "2013", None),
+    ]
+    spark.createDataFrame(data, "article_id bigint, title string, author_string string, pub_year string, doi string").write.parquet(str(tmp_path / "epmc_article.parquet"))
+    folded = {1: "modele de proteines β amyloides", 3: "海洋堆積物的深層模型研究", 5: "a survey of sediments part one"}
+    title = {i: folded[1 if i < 3 else 3 if i < 5 else 5] for i, t, *_ in data if t}
+    family = {1: "fojifelin", 2: "fojifelin", 3: "van der jigusonik", 4: "van der jigusonik", 7: "van der gepo"} | dict.fromkeys((5, 6, 10, 11), "kepo gepo")
+    row = {r[0]: r for r in data}
+    want = set()
+    for a, b in itertools.combinations([i for i in title if i in family], 2):
+        (*_, ya, da), (*_, yb, db) = row[a], row[b]
+        if title[a] == title[b] and family[a] == family[b] and (ya is None or yb is None or abs(int(ya) - int(yb)) <= 1) and not (da and db and da != db):
+            want.add((a, b, 1.0))
+    assert want == {(1, 2, 1.0), (3, 4, 1.0), (5, 6, 1.0)}
+    assert {tuple(r) for r in queries.QUERIES["dedup_trigram_pairs_whole"](spark, str(tmp_path)).collect()} == want
+
+
 def test_candidates_and_fold(spark):
     t = dt.datetime(2024, 1, 1)
     recs = [
