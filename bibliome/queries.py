@@ -280,6 +280,19 @@ def text_surname(spark: SparkSession, d: str) -> DataFrame:
     return x.select("article_id", "author", text.surname(F.col("author")).alias("family"))
 
 
+@query()
+def text_fold_title_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every title, in any script."""
+    return table(spark, d, "openalex_work").select("work_id", text.fold_title(F.col("title")).alias("folded"))
+
+
+@query()
+def text_surname_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every author of every list, however the name is written."""
+    x = table(spark, d, "epmc_article").select("article_id", F.explode(F.split("author_string", ", ")).alias("author"))
+    return x.select("article_id", "author", text.surname(F.col("author")).alias("family"))
+
+
 @query("SELECT doc_id, length(t) + 2 * len(regexp_extract_all(t, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}]')) AS weight FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL AND n_chars < 2000)")
 def text_blocking_weight(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL AND n_chars < 2000").select("doc_id", text.blocking_weight(F.lower("text")).cast("bigint").alias("weight"))

@@ -111,3 +111,16 @@ def test_hashed_words(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "id bigint, t string")
     out = {r.id: r for r in embedded(df, "id", "t", HashedWords(16)).collect()}
     assert len(out[1].vector) == 16 and not any(out[2].vector) and out[1].model_key == "hashed-words-16"
+
+
+def test_every_title_and_author_is_folded(spark, rows, tmp_path):
+    from bibliome import queries
+
+    titles = [(1, "Étude des protéines β–amyloïdes"), (2, "海洋堆積物の研究"), (3, "A plain title."), (4, None), (5, "Straße — Łódź"), (6, "")]
+    spark.createDataFrame(titles, "work_id bigint, title string").write.parquet(str(tmp_path / "openalex_work.parquet"))
+    want = [(1, "etude des proteines β amyloides"), (2, "海洋堆積物の研究"), (3, "a plain title"), (4, ""), (5, "strasse lodz"), (6, "")]
+    assert rows(queries.QUERIES["text_fold_title_whole"](spark, str(tmp_path))) == want
+    lists = [(1, "Jean Dupré, Ana Kepo-Gepo, Jan van der Berg"), (2, "Ann Lee"), (3, None)]
+    spark.createDataFrame(lists, "article_id bigint, author_string string").write.parquet(str(tmp_path / "epmc_article.parquet"))
+    want = [(1, "Ana Kepo-Gepo", "kepo gepo"), (1, "Jan van der Berg", "berg"), (1, "Jean Dupré", "dupre"), (2, "Ann Lee", "lee")]
+    assert rows(queries.QUERIES["text_surname_whole"](spark, str(tmp_path))) == want
