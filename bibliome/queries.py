@@ -259,6 +259,12 @@ def text_query_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("n_chars <= 60").select("doc_id", text.clean_query(F.col("text")).alias("cleaned"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS cleaned FROM documents")
+def text_query_cleanup_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, however long."""
+    return table(spark, d, "documents").select("doc_id", text.clean_query(F.col("text")).alias("cleaned"))
+
+
 # ---- scalar functions ---------------------------------------------------------------------------------------------------------------
 
 _UNESC = "replace(replace(replace(replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&')"
@@ -298,6 +304,12 @@ def text_blocking_weight(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL AND n_chars < 2000").select("doc_id", text.blocking_weight(F.lower("text")).cast("bigint").alias("weight"))
 
 
+@query("SELECT doc_id, length(t) + 2 * len(regexp_extract_all(t, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}]')) AS weight FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)")
+def text_blocking_weight_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, however long."""
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.blocking_weight(F.lower("text")).cast("bigint").alias("weight"))
+
+
 @query("""SELECT preprint_id, CASE WHEN length(b) >= 40 THEN h || '[SEP]' || b ELSE h END AS input FROM (SELECT preprint_id, coalesce(nullif(trim(regexp_replace(regexp_replace(""" + _UNESC.format(c="title") + """, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ''), '') AS h,
  nullif(trim(regexp_replace(regexp_replace(""" + _UNESC.format(c="abstract_text") + """, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '') AS b FROM epmc_preprint)""")
 def embed_input(spark: SparkSession, d: str) -> DataFrame:

@@ -124,3 +124,13 @@ def test_every_title_and_author_is_folded(spark, rows, tmp_path):
     spark.createDataFrame(lists, "article_id bigint, author_string string").write.parquet(str(tmp_path / "epmc_article.parquet"))
     want = [(1, "Ana Kepo-Gepo", "kepo gepo"), (1, "Jan van der Berg", "berg"), (1, "Jean Dupré", "dupre"), (2, "Ann Lee", "lee")]
     assert rows(queries.QUERIES["text_surname_whole"](spark, str(tmp_path))) == want
+
+
+def test_long_texts_are_weighed_and_cleaned_whole(spark, rows, tmp_path):
+    from bibliome import queries
+
+    data = [(1, "ab " * 1500 + "海洋", 4502), (2, "x\ty", 3), (3, None, 0)]
+    spark.createDataFrame(data, "doc_id bigint, text string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(queries.QUERIES["text_blocking_weight_whole"](spark, str(tmp_path))) == [(1, 4506), (2, 3)]
+    cleaned = {r.doc_id: r.cleaned for r in queries.QUERIES["text_query_cleanup_whole"](spark, str(tmp_path)).collect()}
+    assert cleaned == {1: "ab " * 1500 + "海洋", 2: "x y", 3: None}
