@@ -10,9 +10,9 @@ in turn, so that no task ever holds an unbounded group.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -93,7 +93,7 @@ def folded(field: Column, plain: Column) -> Column:
 
 def align(columns: list[dict[str, float]], tokens: Sequence[str], weight: float) -> list[dict[str, float]]:
     """The profile with one more value laid against it: equal stretches share columns, what is new gets its own."""
-    top = [max(c, key=c.get) for c in columns]
+    top = [_top(c) for c in columns]
     n = min(len(top), len(tokens))
     s = next((i for i in range(n) if top[i] != tokens[i]), n)
     e = 0
@@ -107,14 +107,32 @@ def align(columns: list[dict[str, float]], tokens: Sequence[str], weight: float)
                 both = min(b - a, y - x)
                 out += [_vote(c, t, weight) for c, t in zip(mid_c[a : a + both], mid_t[x : x + both], strict=True)]
                 a, x = a + both, x + both
-            out += mid_c[a:b] + [{t: weight} for t in mid_t[x:y]]
+            out += mid_c[a:b] + [_Votes(t, weight) for t in mid_t[x:y]]
     else:
-        out += mid_c + [{t: weight} for t in mid_t]
+        out += mid_c + [_Votes(t, weight) for t in mid_t]
     return out + [_vote(c, t, weight) for c, t in zip(columns[len(columns) - e :], tokens[len(tokens) - e :], strict=True)]
 
 
+class _Votes(dict):
+    """A column's votes, which keeps its leading token: the first to have come among those with most votes."""
+
+    def __init__(self, t: str, weight: float) -> None:
+        super().__init__({t: weight})
+        self.top = t
+
+
+def _top(c: dict[str, float]) -> str:
+    return c.top if isinstance(c, _Votes) else max(c, key=c.get)
+
+
 def _vote(c: dict[str, float], t: str, weight: float) -> dict[str, float]:
+    known = t in c
     c[t] = c.get(t, 0.0) + weight
+    if isinstance(c, _Votes) and t != c.top:
+        if c[t] > c[c.top]:
+            c.top = t
+        elif known and c[t] == c[c.top]:
+            c.top = max(c, key=c.get)
     return c
 
 
@@ -125,18 +143,27 @@ def consensus(values: Sequence[tuple[Sequence[str], float, bool]]) -> list[str]:
     own end, so that values that were cut off don't shorten the others.
     """
     ordered = sorted(values, key=lambda v: (v[2], -v[1], -len(v[0]), list(v[0])))
-    columns: list[dict[str, float]] = []
-    for tokens, weight, _ in ordered:
-        columns = align(columns, tokens, weight) if columns else [{t: weight} for t in tokens]
-    top = [max(sorted(c), key=c.get) for c in columns]
-    reach = [0.0] * (len(columns) + 1)
+    top, votes = _profile((tokens, weight) for tokens, weight, _ in ordered)
+    reach = [0.0] * (len(top) + 1)
     for tokens, weight, _ in ordered:  # the last column of a value, found from its end
-        at = _ends(top, tokens)
-        reach[at] += weight
+        reach[_ends(top, tokens)] += weight
+    return _kept(top, votes, reach)
+
+
+def _profile(ordered: Iterable[tuple[Sequence[str], float]]) -> tuple[list[str], list[float]]:
+    """Each column's leading token, ties by the token, and its votes, of values aligned one after the other."""
+    columns: list[dict[str, float]] = []
+    for tokens, weight in ordered:
+        columns = align(columns, tokens, weight) if columns else [_Votes(t, weight) for t in tokens]
+    return [max(sorted(c), key=c.get) for c in columns], [sum(c.values()) for c in columns]
+
+
+def _kept(top: Sequence[str], votes: Sequence[float], reach: Sequence[float]) -> list[str]:
+    """The leading tokens of the columns that have at least half the weight of the values that reach them."""
     live, out = 0.0, []
-    for i in range(len(columns) - 1, -1, -1):
+    for i in range(len(top) - 1, -1, -1):
         live += reach[i + 1]
-        if sum(columns[i].values()) * 2 >= live:
+        if votes[i] * 2 >= live:
             out.append(top[i])
     return out[::-1]
 
@@ -183,7 +210,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             groups: dict[tuple, float] = {}
             for i in span:
                 key = (cols["text"][i], cols["cut"][i])
-                groups[key] = groups.get(key, 0.0) + cols["votes"][i] * (1 + max(0, -cols["less_priority"][i]) / 100)
+                groups[key] = groups.get(key, 0.0) + cols["votes"][i] * (100 + max(0, -cols["less_priority"][i]))
             if len({t for t, _ in groups}) > 1:
                 split = {t: t.split() for t, _ in groups}
                 agreed = consensus([(split[t], w, c) for (t, c), w in groups.items()])
@@ -257,28 +284,25 @@ def _member(c: Column, bits: Sequence[int]) -> Column:
 
 
 def _crowded(ranked: DataFrame) -> DataFrame:
-    """The same for papers with many records: values made distinct before they meet, consensus by a tree of chunks."""
+    """The same for papers with many records: values made distinct before they meet, then the one vote of the other papers, its
+    values read in their order and never held together. Weights are whole numbers, so no order of adding changes a tie."""
     one = ranked.select("paper_id", "field_name", "item.*")
+    weight = F.sum(F.col("votes") * (100 + F.greatest(F.lit(0), -F.col("less_priority")))).cast("double")
     counts = one.groupBy("paper_id", "field_name", "text", "cut", "ended").agg(
-        F.min(F.struct("less_priority", "less_fetched", "record_id")).alias("first"), F.count("*").alias("votes")
+        F.min(F.struct("less_priority", "less_fetched", "record_id")).alias("first"), F.count("*").alias("votes"), weight.alias("weight")
     )
     distinct = cut_lineage(counts)
     size = distinct.groupBy("paper_id", "field_name").agg(F.sum("votes").alias("n"), F.count_if(F.col("text").isNotNull()).alias("d"))
-    most = size.agg(F.max("d")).first()[0] or 0
-    several = size.where("n > 1 AND d > 0").select("paper_id", "field_name")
-    live = distinct.where("text IS NOT NULL").join(several, ["paper_id", "field_name"], "left_semi")
-    level = live.select("paper_id", "field_name", "text", "cut", (F.col("votes") * (1 + F.greatest(F.lit(0), -F.col("first.less_priority")) / 100)).alias("weight"))
-    while True:
-        chunks = max(1, math.ceil(most / CHUNK))
-        level = (
-            level.withColumn("chunk", F.pmod(F.xxhash64("text"), F.lit(chunks)))
-            .groupBy("paper_id", "field_name", "chunk").agg(F.collect_list(F.struct("text", "cut", "weight")).alias("items"))
-            .select("paper_id", "field_name", "items").mapInArrow(_agree, "paper_id string, field_name string, text string, cut boolean, weight double")
-        )
-        if chunks == 1:
-            break
-        most = chunks
-    agreed = level.select("paper_id", "field_name", F.col("text").alias("agreed"))
+    group = ["paper_id", "field_name"]
+    several = size.where("n > 1 AND d > 0").select(*group)
+    live = distinct.where("text IS NOT NULL").join(several, group, "left_semi")
+    values = live.groupBy(*group, "text", "cut").agg(F.sum("weight").alias("weight")).mapInArrow(_split, "paper_id string, field_name string, cut boolean, weight double, tokens array<string>")
+    values = cut_lineage(values)
+    ordered = values.repartition(*group).sortWithinPartitions(*group, "cut", F.desc("weight"), F.desc(F.size("tokens")), "tokens")
+    profiles = cut_lineage(ordered.mapInArrow(_profiles, "paper_id string, field_name string, top array<string>, votes array<double>"))
+    ends = values.join(profiles.select(*group, "top"), group).select(*group, "weight", "tokens", "top").mapInArrow(_reached, "paper_id string, field_name string, at int, weight double")
+    ends = ends.groupBy(*group, "at").agg(F.sum("weight").alias("weight")).groupBy(*group).agg(F.collect_list(F.struct("at", "weight")).alias("reach"))
+    agreed = profiles.join(ends, group).select(*group, "top", "votes", "reach").mapInArrow(_agree, "paper_id string, field_name string, agreed string")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,16 +322,38 @@ def _crowded(ranked: DataFrame) -> DataFrame:
     )
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        tokens = pa.array([t.split() for t in b.column(2).to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), tokens], ["paper_id", "field_name", "cut", "weight", "tokens"])
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ordered values -> each group's profile; only one group's columns are held at a time."""
+    rows = ((p, f, t, w) for b in batches for p, f, w, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
+    for (paper, field), part in groupby(rows, key=lambda r: r[:2]):
+        top, votes = _profile((t, w) for _, _, t, w in part)
+        yield pa.RecordBatch.from_arrays([pa.array([paper], pa.string()), pa.array([field], pa.string()), pa.array([top], pa.list_(pa.string())), pa.array([votes], pa.list_(pa.float64()))], ["paper_id", "field_name", "top", "votes"])
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for s in range(0, big.num_rows, 256):  # each row has its group's profile beside it
+            b = big.slice(s, 256)
+            at = [_ends(top, t) for t, top in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int32()), b.column(2)], ["paper_id", "field_name", "at", "weight"])
+
+
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk's consensus, with the weight of all its values."""
+    """Each group's consensus from its profile and the weight that ends at each column."""
     for b in batches:
-        offsets, flat = b.column(2).offsets.to_pylist(), b.column(2).values
-        text, cut, weight = (flat.field(n).to_pylist() for n in ("text", "cut", "weight"))
         said = []
-        for g in range(b.num_rows):
-            span = range(offsets[g], offsets[g + 1])
-            said.append((" ".join(consensus([(text[i].split(), weight[i], cut[i]) for i in span])), all(cut[i] for i in span), sum(weight[i] for i in span)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.bool_()), pa.array([s[2] for s in said], pa.float64())], ["paper_id", "field_name", "text", "cut", "weight"])
+        for top, votes, ends in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            reach = [0.0] * (len(top) + 1)
+            for e in ends:
+                reach[e["at"]] += e["weight"]
+            said.append(" ".join(_kept(top, votes, reach)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string())], ["paper_id", "field_name", "agreed"])
 
 
 def survivor_rows(records: DataFrame, priority: DataFrame) -> DataFrame:

@@ -57,6 +57,20 @@ def test_crowded_paper_equals_the_rule(spark):
     assert run(spark, recs) == {("hot", "abstract"): best[0], ("hot", "title"): first[0]}
 
 
+def test_crowded_papers_vote_as_the_others_do(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(9)]
+    recs = []
+    for i in range(240):
+        title = " ".join(rng.choice([w, w, w, f"x{rng.randrange(4)}"]) for w in words[: rng.randrange(5, 10)])
+        recs.append((i, rng.choice(list(TRUST)), f"p{i % 2}", {"title": title, "abstract": title[:30] + rng.choice([".", "...", ""])}, T + dt.timedelta(minutes=rng.randrange(50))))
+    df = spark.createDataFrame([(i, s, "x", p, json.dumps(j), t, T) for i, s, p, j, t in recs], REC)
+    pri = spark.createDataFrame([(s, f, v) for s, v in TRUST.items() for f in S.FIELDS], PRI)
+    crowded = sorted(map(tuple, S.survivors(df, pri).collect()))
+    monkeypatch.setattr(S, "CHUNK", 1000)
+    assert crowded == sorted(map(tuple, S.survivors(df, pri).collect())) and len(crowded) == 4
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
 
