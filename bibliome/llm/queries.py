@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "paper_facts").select("facts_id", "vector")
-    return vectors.search_by_scan(facts, facts.where(F.col("facts_id") % 20 == 0), "facts_id", "vector").withColumnRenamed("id", "facts_id")
+    return vectors.search_by_lists(facts, facts.where(F.col("facts_id") % 20 == 0), "facts_id", "vector").withColumnRenamed("id", "facts_id")
 
 
 def _records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
