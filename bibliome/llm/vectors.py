@@ -38,6 +38,8 @@ MOST_LISTS, MOST_TIERS = 16, 3
 _WORDS = 1024
 #: Numbers a beam search holds at a time.
 _ROOM = 4_000_000
+#: Pairs a row leaves in, on average, above which they are many.
+_MANY = 64
 #: More than products of 32-bit unit vectors can be wrong.
 SLACK = 1e-5
 
@@ -142,7 +144,7 @@ class Tier:
 
 @dataclass(frozen=True)
 class Index:
-    """tiers name lists; books, coarse and fine, make codes; least is the score below which no true neighbour was seen; blocks
+    """tiers name lists; books, coarse and fine, make codes; least is the score that all but 0.2 % of the true neighbours seen have; blocks
     says of lists that are too long how many blocks they are compared in."""
 
     tiers: tuple[Tier, ...]
@@ -175,7 +177,7 @@ def keys_of(x: np.ndarray, tiers: Sequence[Tier], many: Callable[[Tier], int] =
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def encode(x: np.ndarray, books: Books, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def encode(x: np.ndarray, books: Books, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Codes by beam search, and the squared norms of what they stand for."""
     codes = beam(x, books, width)[0][:, 0]
     made = sum(c[codes[:, i]] for i, c in enumerate(books))
@@ -298,7 +300,7 @@ def built(reps: DataFrame, rows: int, *, dim: int, k: int, min_sim: float, recal
     codes, norms = encode(np.concatenate([a, b]), books)
     made = sum(c[codes[:, i]] for i, c in enumerate(books))
     seen = np.r_[(a * made[len(a) :]).sum(1) - 0.5 * norms[len(a) :], (b * made[: len(a)]).sum(1) - 0.5 * norms[: len(a)]]
-    least = float(seen.min()) - 0.02 if len(seen) >= 200 and min_sim > -1 else -np.inf
+    least = float(np.quantile(seen, 0.002)) if len(seen) >= 200 and min_sim > -1 else -np.inf
     if recall >= 1 or rows <= 2 * CELL_ROWS:
         return Index((), books, -np.inf if recall >= 1 else least, {0: math.ceil(rows / BLOCK_ROWS)} if rows > BLOCK_ROWS else {})
     tiers = [Tier(coarse, lists_for(a, b, coarse, recall, single=single))]
@@ -338,31 +340,39 @@ def built(reps: DataFrame, rows: int, *, dim: int, k: int, min_sim: float, recal
         tiers.append(Tier(again, lists_for(a[met], b[met], again, recall, single=single)))
 
 
-def _neighbours(x: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, index: Index, left: int, k: int, min_sim: float, again: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _neighbours(x: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, index: Index, left: int, k: int, min_sim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row's place, other's id, cosine): every row's k best others, where the first `left` rows meet the rest; with no rest they
-    meet each other. With no least score every pair is compared exactly, else those that score at least that: of a row with
-    more than `again` of them, the best."""
+    meet each other.
+
+    Lookup tables leave out pairs that score less than true neighbours were seen to; where they leave in many, as among rows
+    that are all alike, products of 32-bit unit vectors leave out what surely isn't among a row's k best (they are right to within
+    SLACK). What is left is ranked by the exact cosine, however much it is.
+    """
     u, exact = unit(x), x.astype(np.float64)
     length = np.sqrt((exact * exact).sum(1))
     alone = left == len(x)
-    whole = np.isneginf(index.least)
     kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    floor = np.full(len(x), min_sim - SLACK, np.float32)
+    floor = np.full(len(x), min_sim - SLACK, np.float32)  # a row's k-th best so far, less SLACK
     for s in range(0, left, 256):
         e = min(s + 256, left)
         at = s if alone else left
-        near = u[s:e] @ u[at:].T if whole else scores(tables(u[s:e], index.books), codes[at:], norms[at:])
-        if alone:
-            near[np.tril_indices(e - s)] = -np.inf
-        hit = near >= (min_sim - SLACK if whole else index.least)
-        if np.count_nonzero(hit) > again * (e - s):
-            many = k if whole else again
-            slack = SLACK if whole else 0.0
-            if near.shape[1] > many:
-                floor[s:e] = np.maximum(floor[s:e] if whole else -np.inf, np.partition(near, -many, axis=1)[:, -many] - slack)
-            if e - s > many:
-                floor[at:] = np.maximum(floor[at:] if whole else index.least, np.partition(near, -many, axis=0)[-many] - slack)
-            hit &= (near >= floor[s:e, None]) | (near >= floor[at:])
+        hit = None
+        if not np.isneginf(index.least):
+            near = scores(tables(u[s:e], index.books), codes[at:], norms[at:])
+            hit = near >= index.least
+        if hit is None or np.count_nonzero(hit) > _MANY * (e - s):
+            near = u[s:e] @ u[at:].T
+            if alone:
+                near[np.tril_indices(e - s)] = -np.inf
+            hit = near >= min_sim - SLACK
+            if np.count_nonzero(hit) > _MANY * (e - s):
+                if near.shape[1] > k:
+                    floor[s:e] = np.maximum(floor[s:e], np.partition(near, -k, axis=1)[:, -k] - SLACK)
+                if e - s > k:
+                    floor[at:] = np.maximum(floor[at:], np.partition(near, -k, axis=0)[-k] - SLACK)
+                hit &= (near >= floor[s:e, None]) | (near >= floor[at:])
+        elif alone:
+            hit[np.tril_indices(e - s)] = False
         q, d = np.nonzero(hit)
         q, d = q + s, d + at
         cos = np.concatenate([np.einsum("pd,pd->p", exact[q[t : t + 8192]], exact[d[t : t + 8192]]) for t in range(0, len(q), 8192)] or [np.zeros(0)]) / (length[q] * length[d])
@@ -393,7 +403,7 @@ def _split(rows: np.ndarray, keys: np.ndarray, ids: np.ndarray, blocks: dict[int
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def nearest_in_lists(reps: DataFrame, index: Index, dim: int, k: int, min_sim: float, again: int) -> DataFrame:
+def nearest_in_lists(reps: DataFrame, index: Index, dim: int, k: int, min_sim: float) -> DataFrame:
     """reps(id, v), all different -> (id, near array<struct<less, id>>): less is the negative cosine. Rows of a list meet."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +422,7 @@ def nearest_in_lists(reps: DataFrame, index: Index, dim: int, k: int, min_sim: f
             order = np.argsort(~first, kind="stable")
             ids = group["id"].to_numpy()[order]
             codes = np.frombuffer(b"".join(group["code"].to_pylist()), np.uint16).reshape(len(ids), -1)[order]
-            who, other, cos = _neighbours(_ints(group["v"], dim)[order], ids, codes, group["norm"].to_numpy()[order], index, int(first.sum()), k, min_sim, again)
+            who, other, cos = _neighbours(_ints(group["v"], dim)[order], ids, codes, group["norm"].to_numpy()[order], index, int(first.sum()), k, min_sim)
             who = ids[who]
         return pa.table([pa.array(who, pa.int64()), pa.array(other, pa.int64()), pa.array(-np.asarray(cos, np.float64))], ["id", "other", "less"])
 
@@ -432,7 +442,7 @@ def _hashes() -> list:
     return [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
 
 
-def similar_rows(df: DataFrame, id_col: str, vec_col: str, *, dim: int = 96, k: int = 5, min_sim: float = 0.8, recall: float = 0.995, again: int = 64, fine: int = 4) -> DataFrame:
+def similar_rows(df: DataFrame, id_col: str, vec_col: str, *, dim: int = 96, k: int = 5, min_sim: float = 0.8, recall: float = 0.995, fine: int = 8) -> DataFrame:
     """(id, other, similarity): each row's k most similar rows whose cosine is at least min_sim.
 
     `recall` is the share of true neighbours that share a list, as measured on a sample; 1 compares all rows with all. Ties go
@@ -445,7 +455,7 @@ def similar_rows(df: DataFrame, id_col: str, vec_col: str, *, dim: int = 96, k:
     if not rows:
         return df.sparkSession.createDataFrame([], "id bigint, other bigint, similarity double")
     index = built(classes, rows, dim=dim, k=k, min_sim=min_sim, recall=recall, fine=fine, single=False)
-    near = nearest_in_lists(classes, index, dim, k, min_sim, again)
+    near = nearest_in_lists(classes, index, dim, k, min_sim)
     several = classes.where("n > 1").select("h1", "h2", F.col("id").alias("rep"))
     members = u.select("id", *_hashes()).join(several, ["h1", "h2"]).select("rep", "id")
     first = (
@@ -473,7 +483,7 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, **options: object) -
     return s.select(F.least("id", "other").alias("facts_a"), F.greatest("id", "other").alias("facts_b")).distinct()
 
 
-def search_by_lists(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, *, dim: int = 96, k: int = 5, recall: float = 0.98, again: int = 64, fine: int = 14) -> DataFrame:
+def search_by_lists(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, *, dim: int = 96, k: int = 5, recall: float = 0.98, again: int = 400, fine: int = 12) -> DataFrame:
     """(id, rank, other, similarity): the k rows most similar to each query, over all rows.
 
     Every row is in the list nearest to it; a query goes to as many lists as hold `recall` of the true neighbours of a measured
