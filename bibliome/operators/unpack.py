@@ -21,6 +21,8 @@ _WS = r"[\s\p{Z}\x{FEFF}\x{200B}]"
 #: Noncharacters stand for: a value's end, an opening and a closing quote, a lone quote, and escaped characters.
 _END, _OPEN, _CLOSE, _LONE = "\uFDD0", "\uFDD1", "\uFDD2", "\uFDD3"
 _ESCAPED = {";": "\uFDD4", "|": "\uFDD5", ",": "\uFDD6", '"': "\uFDD7", "；": "\uFDD8", "\\": "\uFDD9"}
+#: Cells without any of these are one value as they stand.
+_SPECIAL = r"""["\\;；|\t\r\n•,/&()\[\]\x{FDD0}-\x{FDEF}]|\sand\s"""
 #: How a comma outside quotes is read where no other delimiter occurs in the cell.
 QUOTED, KNOWN, NAMES = "quoted", "known", "names"
 
@@ -86,7 +88,8 @@ def packed_values(cells: DataFrame, *, policy: Mapping[str, str]) -> DataFrame:
     """
     field = F.col("field_name")
     of = lambda kind: field.isin([f for f, p in policy.items() if p == kind])
-    base = cells.withColumn("t", _trim(F.col("cell"))).where(F.length("t") > 0)
+    base = cells.withColumn("all", _trim(F.col("cell"))).where(F.length("all") > 0)
+    base = base.withColumn("t", F.when(F.col("all").rlike(_SPECIAL), F.col("all")))  # null costs nothing in what follows
     base = base.withColumn("json", F.when(F.col("t").rlike(r'(?s)^\[\s*".*"\s*\]$'), F.from_json("t", "array<string>")))
     base = base.withColumn("pieces", _pieces(_hide_escapes(F.col("t"))))
     outside = F.array_join(F.filter("pieces", lambda p, i: F.pmod(i, F.lit(2)) == 0), _LONE)
@@ -102,7 +105,8 @@ def packed_values(cells: DataFrame, *, policy: Mapping[str, str]) -> DataFrame:
     all_names = of(NAMES) & F.forall(by_comma, lambda v: (F.length(_trim(v)) == 0) | full_name(v))
     base = base.withColumn(
         "way",
-        F.when(F.col("json").isNotNull(), "json")
+        F.when(F.col("t").isNull(), "plain")
+        .when(F.col("json").isNotNull(), "json")
         .when(F.col("primary"), "primary")
         .when(joint, "joint")
         .when(comma & (some_quoted | all_names), "comma")
@@ -110,17 +114,18 @@ def packed_values(cells: DataFrame, *, policy: Mapping[str, str]) -> DataFrame:
         .otherwise("one"),
     )
     keep = ["row_id", "field_name"]
-    sure = base.where("way <> 'ask'").select(
-        *keep,
-        F.when(F.col("way") == "json", F.filter(F.transform("json", _trim), lambda v: F.length(v) > 0))
+    items = (
+        F.when(F.col("way") == "plain", F.array("all"))
+        .when(F.col("way") == "json", F.filter(F.transform("json", _trim), lambda v: F.length(v) > 0))
         .when(F.col("way") == "primary", _values(_cut(F.col("pieces"), DELIMITERS)))
         .when(F.col("way") == "joint", _values(_cut(F.col("pieces"), r"\s*,\s*(?:and|&)\s+|\s*,\s*|\s+(?:and|&)\s+")))
-        .when(F.col("way") == "comma", _values(by_comma))
+        .when(F.col("way").isin("comma", "ask"), _values(by_comma))
         .otherwise(whole)
-        .alias("items"),
     )
-    sure = cut_lineage(sure)  # read twice: as the result, and for the values that are known
-    asked = base.where("way = 'ask'").select(*keep, "t", _values(by_comma).alias("parts"), whole.alias("whole"))
+    # every cell is taken apart once; what follows reads the result, as the values, as those known, and as cases to decide
+    read = cut_lineage(base.select(*keep, "way", "t", items.alias("items"), F.when(F.col("way") == "ask", whole).alias("whole")))
+    sure = read.where("way <> 'ask'").select(*keep, "items")
+    asked = read.where("way = 'ask'").select(*keep, "t", F.col("items").alias("parts"), "whole")
     known = sure.where(of(KNOWN)).select("field_name", F.explode("items").alias("v")).distinct()
     cases = asked.select("field_name", "t", "parts", "whole").dropDuplicates(["field_name", "t"])
     verdict = (
