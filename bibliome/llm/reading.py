@@ -9,6 +9,7 @@ coefficients are fitted to a bounded sample of rated texts.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from statistics import median
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibliome.llm.words import document_frequencies, is_english, sentence_lengths, words_of
+from bibliome.llm.words import document_frequencies, is_english, words_and_lengths
 
 LEVELS = 5
 #: Ratings the coefficients are fitted to, at most; every text is scored.
@@ -27,8 +28,12 @@ SAMPLE = 6_000
 MIN_WORDS = 40
 #: A word is outside a list if the level it is familiar at exceeds the list's.
 _LISTS = (1.75, 2.0, 2.25, 2.5, 2.75, 3.0, 3.25, 3.5, 3.75, 4.0, 4.25)
-#: A word in fewer texts isn't on any list, nor held against a text.
-_FEWEST = 5
+#: A word in fewer texts, or in a smaller share of them, is on no list.
+_FEWEST, _SHARE = 5, 2e-5
+
+
+#: The words of a text and the lengths of its sentences.
+Text = tuple[list[str], list[int]]
 
 
 @dataclass(frozen=True)
@@ -39,27 +44,29 @@ class Formula:
     weights: tuple[float, ...]
     cuts: tuple[float, ...]
 
-    def features(self, text: str, words: Sequence[str]) -> list[float]:
-        lengths = sentence_lengths(text) or [len(words)]
+    def features(self, text: Text) -> list[float]:
+        words, lengths = text
+        lengths = lengths or [len(words)]
         mid, mean = float(median(lengths)), sum(lengths) / len(lengths)
         out = [1.0, min(mid, 60.0), math.log(mid), math.log(mean)]
         if self.familiar is not None:
-            at = [a for a in map(self.familiar.get, words) if a is not None]
-            n = max(1, len(at))
-            out += [sum(a > c for a in at) / n for c in _LISTS] + [sum(at) / n, len(at) / max(1, len(words))]
+            at = sorted(a for a in map(self.familiar.get, words) if a is not None)
+            n = max(1, len(words))
+            # a word on no list is outside each of them
+            out += [(len(words) - bisect_right(at, c)) / n for c in _LISTS] + [sum(at) / max(1, len(at)), len(at) / n]
         return out
 
-    def level(self, text: str, words: Sequence[str]) -> int:
-        score = sum(w * x for w, x in zip(self.weights, self.features(text, words), strict=True))
+    def level(self, text: Text) -> int:
+        score = sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
         return 1 + sum(score > c for c in self.cuts)
 
 
-def eligible(text: str | None) -> list[str] | None:
-    """The words of an English text that is long enough, else None."""
-    if text is None or len(text.split()) < MIN_WORDS:
+def eligible(text: str | None) -> Text | None:
+    """The words and sentence lengths of an English text that is long enough, else None."""
+    if text is None or len(text.split(None, MIN_WORDS)) < MIN_WORDS:
         return None
-    words = words_of(text)
-    return words if is_english(words) else None
+    read = words_and_lengths(text)
+    return read if is_english(read[0]) else None
 
 
 def _cuts(score: np.ndarray, level: np.ndarray) -> tuple[float, ...]:
@@ -75,10 +82,10 @@ def _cuts(score: np.ndarray, level: np.ndarray) -> tuple[float, ...]:
     return tuple(out)
 
 
-def _fit(formula: Formula, rated: Sequence[tuple[str, list[str], float, str]]) -> Formula:
+def _fit(formula: Formula, rated: Sequence[tuple[Text, float, str]]) -> Formula:
     """Coefficients by ridge regression on rated texts, with an offset for each rater who rated enough of them."""
-    x = np.array([formula.features(t, w) for t, w, _, _ in rated])
-    y = np.array([v for *_, v, _ in rated])
+    x = np.array([formula.features(t) for t, _, _ in rated])
+    y = np.array([v for _, v, _ in rated])
     raters = [r for r in sorted({r for *_, r in rated}) if sum(q == r for *_, q in rated) >= 30][1:]
     z = np.hstack([x, np.array([[float(q == r) for r in raters] for *_, q in rated]).reshape(len(y), len(raters))])
     scale = np.maximum(z.std(0), 1e-9)
@@ -108,20 +115,21 @@ def fitted(documents: DataFrame, labels: DataFrame, *, rounds: int = 2) -> Formu
     rated_rows = labels.where("reading_level IS NOT NULL").orderBy(F.xxhash64("doc_id", "rater"), "doc_id", "rater").limit(SAMPLE)
     joined = documents.select("doc_id", "text").join(rated_rows.select("doc_id", "reading_level", "rater"), "doc_id").toArrow().to_pylist()
     joined.sort(key=lambda r: (r["doc_id"], r["rater"] or ""))
-    rated = [(r["text"], w, float(r["reading_level"]), r["rater"] or "") for r in joined if (w := eligible(r["text"])) is not None]
+    rated = [(t, float(r["reading_level"]), r["rater"] or "") for r in joined if (t := eligible(r["text"])) is not None]
     start = Formula(None, (0.5, 0.05, 0.5, 0.3), (1.5, 2.5, 3.5, 4.5))
     formula = _fit(start, rated) if len(rated) >= 20 else start
     for _ in range(rounds):
-        docs, counts = document_frequencies(documents, "text", _grouper(formula), LEVELS)
+        docs, counts = document_frequencies(documents, "text", _grouper(formula), LEVELS, fewest=_FEWEST, share=_SHARE)
         lists = Formula(_lists(docs, counts), (), ())
         if len(rated) >= 20:
             formula = _fit(lists, rated)
     return formula
 
 
-def _grouper(formula: Formula) -> Callable[[str, list[str]], int | None]:
-    def group(text: str, words: list[str]) -> int | None:
-        return formula.level(text, words) - 1 if len(text.split()) >= MIN_WORDS and is_english(words) else None
+def _grouper(formula: Formula) -> Callable[[str], tuple[list[str], int | None]]:
+    def group(text: str) -> tuple[list[str], int | None]:
+        read = eligible(text)
+        return ([], None) if read is None else (read[0], formula.level(read) - 1)
 
     return group
 
@@ -138,10 +146,10 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, rounds: int = 2)
         for b in batches:
             ids, levels = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = eligible(text)
-                if words is not None:
+                read = eligible(text)
+                if read is not None:
                     ids.append(i)
-                    levels.append(formula.level(text, words))
+                    levels.append(formula.level(read))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(levels, pa.int32())], ["doc_id", "reading_level"])
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, reading_level int")

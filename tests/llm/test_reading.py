@@ -55,10 +55,18 @@ def test_words():
 
 def test_frequencies_cover_all_texts(spark):
     df = spark.createDataFrame([(i, "Alpha beta " + ("gamma" if i % 2 else "")) for i in range(100)] + [(200, None)], "id bigint, text string").repartition(7)
-    docs, counts = document_frequencies(df, "text", lambda t, w: len(w) - 2, 2)
+    docs, counts = document_frequencies(df, "text", lambda t: (words_of(t), len(words_of(t)) - 2), 2)
     assert docs == [50, 50] and counts == {"alpha": [50, 50], "beta": [50, 50], "gamma": [0, 50]}
-    _, top = document_frequencies(df, "text", lambda t, w: 0, 1, most=1)
+    _, top = document_frequencies(df, "text", lambda t: (words_of(t), 0), 1, most=1)
     assert top == {"alpha": [100]}
+    _, often = document_frequencies(df, "text", lambda t: (words_of(t), 0), 1, share=0.6)
+    assert often == {"alpha": [100], "beta": [100]}
+
+
+def test_words_on_no_list_are_outside_every_list():
+    f = R.Formula({"sea": 1.0, "law": 5.0}, (), ())
+    known, unknown = f.features((["sea", "law"], [2])), f.features((["sea", "xylem"], [2]))
+    assert known[4:15] == unknown[4:15] == [0.5] * 11 and unknown[-1] == 0.5
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver data")
