@@ -9,6 +9,7 @@ that still fit.
 from __future__ import annotations
 
 import math
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
@@ -84,27 +85,23 @@ def fill(sizes: Sequence[int], terms: Sequence[Mapping[str, int]], weight: Mappi
     return out
 
 
-def route(terms: Sequence[str], weight: Mapping[str, float]) -> tuple[str, str]:
-    """The two words that a weighted min-hash draws from a text's words (those the corpus weighs); texts draw the same one as
-    often as their weighted words overlap."""
-    best = second = (math.inf, "")
-    for w in terms:
-        x = weight.get(w)
-        if x:
-            drawn = (-math.log((_hash(w) + 1) / 4294967297) / x, w)
-            if drawn < best:
-                best, second = drawn, best
-            elif drawn < second:
-                second = drawn
-    return best[1], second[1]
+def draws(weight: Mapping[str, float]) -> dict[str, float]:
+    """What a weighted min-hash draws for each word: the heavier the word, the smaller, as a rule."""
+    return {w: -math.log((zlib.crc32(w.encode("utf-8", "replace")) + 1) / 4294967297) / x for w, x in weight.items()}
 
 
-def _hash(w: str) -> int:
-    h = 2166136261
-    for b in w.encode("utf-8", "replace"):
-        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
-    h ^= h >> 15
-    return (h * 0x2C1B3C6D & 0xFFFFFFFF) ^ (h >> 13)
+def route(terms: Sequence[str], drawn: Mapping[str, float]) -> tuple[str, str]:
+    """The two words of a text that draw least (of those the corpus weighs); texts share the first as often as their weighted
+    words overlap."""
+    best, second, first, other = math.inf, math.inf, "", ""
+    for w in terms:
+        x = drawn.get(w)
+        if x is not None and x < second:
+            if x < best:
+                best, second, first, other = x, best, w, first
+            else:
+                second, other = x, w
+    return first, other
 
 
 def items_of(df: DataFrame, id_col: str, text_col: str, capacity: int, file: str) -> DataFrame:
@@ -150,10 +147,11 @@ def packed(df: DataFrame, id_col: str, text_col: str, *, capacity: int = 2048, t
     """
     items = cut_lineage(items_of(df, id_col, text_col, capacity, f"{path}/{tokenizer}.json"))
     weight, rare, mean = word_weights(items)
+    drawn = draws(weight)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [route(t, weight) if t else ("", "") for t in b.column(4).to_pylist()]
+            keys = [route(t, drawn) if t else ("", "") for t in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k for k, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.string())], [*b.schema.names, "k1", "k2"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
