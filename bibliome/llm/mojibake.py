@@ -25,7 +25,8 @@ CHAINS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r",
 CLEAN, LOSSY = "clean", "lossy"
 #: Share of the runs of a damaged text that are damage.
 _RHO = 0.9
-_ROUNDS = 4
+#: Estimation goes on until no prior moves by more than this, or for so many rounds.
+_STILL, _ROUNDS = 1e-4, 25
 #: A chain's least prior; rarer ones would never be believed on the evidence of one run.
 _FLOOR = 0.003
 _ENTITY = re.compile(r"&#(\d{2,7}|x[0-9a-fA-F]{2,6});")
@@ -82,6 +83,24 @@ def unescaped(text: str) -> str:
     return _ENTITY.sub(char, text)
 
 
+def units(chain: str, run: str, dec: str) -> list[tuple[str, str]]:
+    """A run cut wherever a character of it and one of what it decodes to end at the same byte: (part, character it decodes to), so
+    that parts are of one or two characters and their number doesn't grow with the length of texts."""
+    if chain != "gbk":
+        return [(run, dec)]
+    out, at, start, here, there = [], 0, 0, 0, 0
+    run = run.rstrip("�")
+    for n, c in enumerate(dec, 1):
+        there += len(c.encode())
+        while here < there and at < len(run):
+            here += len(run[at].encode("gbk"))
+            at += 1
+        if here == there:
+            out.append((run[start:at], dec[len("".join(d for _, d in out)) : n]))
+            start = at
+    return out
+
+
 def runs_of(text: str) -> dict[str, Counter]:
     """Per chain, how often each (run, character it decodes to) occurs."""
     out: dict[str, Counter] = {}
@@ -92,7 +111,7 @@ def runs_of(text: str) -> dict[str, Counter]:
         for m in _pattern(chain).finditer(text):
             dec = _decode(chain, m[0])
             if dec and dec != m[0] and (chain != "gbk" or not all("一" <= c <= "鿿" for c in dec)):
-                found[(m[0], dec)] += 1
+                found.update(units(chain, m[0], dec))
         if found:
             out[chain] = found
     return out
@@ -122,7 +141,7 @@ class Model:
     def repair(self, source: str, field: str, text: str) -> tuple[str, str]:
         """(chains applied, text), the most probable chain at a time, for as long as one is more probable than none."""
         plain, chains = unescaped(text), []
-        for _ in range(3):
+        while True:  # every layer taken off leaves fewer characters
             evidence = {c: [(r, d, n) for (r, d), n in f.items()] for c, f in runs_of(plain).items()}
             if not evidence:
                 break
@@ -131,7 +150,15 @@ class Model:
             if chain == CLEAN:
                 break
             good = {r for r, d, _ in evidence[chain] if self.gain(r, d) > 0}
-            plain = _pattern(chain).sub(lambda m: _decode(chain, m[0]) if m[0] in good else m[0], plain)  # noqa: B023
+
+            def mended(m: re.Match) -> str:
+                dec = _decode(chain, m[0])  # noqa: B023
+                return m[0] if dec is None else "".join(d if r in good else r for r, d in units(chain, m[0], dec))  # noqa: B023
+
+            after = _pattern(chain).sub(mended, plain)
+            if after == plain:
+                break
+            plain = after
             chains.append(chain)
         return "+".join(chains), plain if chains else text
 
@@ -233,7 +260,9 @@ def fit(texts: DataFrame, evidence: DataFrame) -> Model:
         for key, n in texts_by.items():
             damaged = sum(w for c, w in by[key].items() if c != CLEAN)
             prior[key] = {CLEAN: (n - damaged + 5) / (n + 6)} | {c: max(_FLOOR, by[key].get(c, 0.0) / (n + 6)) for c in CHAINS}
-        model = Model(chars, sound, {("", ""): start} | prior)
+        before, model = model.prior, Model(chars, sound, {("", ""): start} | prior)
+        if all(abs(p - before[key].get(c, 0.0)) <= _STILL for key, of in prior.items() for c, p in of.items()):
+            break
     return model
 
 

@@ -56,3 +56,21 @@ def test_empty(spark):
 def test_runs_and_entities():
     assert M.runs_of("Ã©")["cp1252"] == {("Ã©", "é"): 1} and M.runs_of("NÃO") == {} and M.runs_of("abc") == {}
     assert M.unescaped("&#195;&#169; &#38; &#xC3;") == "Ã© &#38; Ã"
+
+
+def test_gbk_runs_are_cut_to_characters():
+    text = "données très étudiées à Zürlach"
+    bad = "é à ü".encode().decode("gbk", "replace")
+    run = "éàüé".encode().decode("gbk")
+    assert M.units("gbk", run, "éàüé") == [(run[0], "é"), (run[1], "à"), (run[2], "ü"), (run[0], "é")] and bad
+    long = "études".replace("tudes", "é" * 400)
+    assert set(M.runs_of(long.encode().decode("gbk"))["gbk"]) == {(run[0], "é")} and text
+
+
+def test_as_many_layers_as_there_are():
+    text, deep = "Bäume größerer Flüsse", "Bäume größerer Flüsse"
+    for _ in range(5):
+        deep = garble(deep, "cp1252")
+    model = M.Model({c: 50.0 for c in "äöüß"}, {}, {("", ""): {M.CLEAN: 0.5} | {c: 0.5 / len(M.CHAINS) for c in M.CHAINS}})
+    chains, plain = model.repair("S", "t", deep)
+    assert plain == text and len(chains.split("+")) == 5
