@@ -10,6 +10,9 @@ def _found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+#: The forms of identifiers, by the published grammar of each.
+
+
 def doi(c: Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(_found(c, r"(?i)(10\.\d{4,9}/[^\s\"'<>]+)"), r"[.,;:)\]}>]+$", "")), F.lit(""))
 
@@ -51,7 +54,9 @@ def normalised(id_type: Column, raw: Column) -> Column:
 
 
 def arxiv_of_url(url: Column) -> Column:
-    return F.when(F.lower(url).contains("arxiv.org"), arxiv(url))
+    """The id in a link to arXiv itself; a link that only mentions it, to another host, has none."""
+    host = F.lower(F.try_parse_url(F.trim(url), F.lit("HOST")))
+    return F.when((host == "arxiv.org") | host.endswith(".arxiv.org"), arxiv(url))
 
 
 def is_preprint_doi(c: Column) -> Column:

@@ -14,41 +14,136 @@ LABELS = (
     "Materials Science", "Mathematics", "Medicine", "Neuroscience", "Nursing", "Pharmacology, Toxicology and Pharmaceutics", "Physics and Astronomy", "Psychology", "Social Sciences", "Veterinary", "Dentistry", "Health Professions",
 )
 SLUGS = {label: label.lower().replace(",", "").replace(" ", "-") for label in LABELS}
-#: Fields of arXiv archives, and of categories that differ from their archive.
+#: The field of each arXiv archive.
 ARXIV_ARCHIVES = {
-    "physics-and-astronomy": "astro-ph cond-mat gr-qc hep-ex hep-lat hep-ph hep-th math-ph nlin nucl-ex nucl-th physics quant-ph",
-    "computer-science": "cs", "economics-econometrics-and-finance": "econ q-fin", "engineering": "eess", "mathematics": "math stat", "agricultural-and-biological-sciences": "q-bio",
-}
+    "astro-ph": "physics-and-astronomy",
+    "cond-mat": "physics-and-astronomy",
+    "cs": "computer-science",
+    "econ": "economics-econometrics-and-finance",
+    "eess": "engineering",
+    "gr-qc": "physics-and-astronomy",
+    "hep-ex": "physics-and-astronomy",
+    "hep-lat": "physics-and-astronomy",
+    "hep-ph": "physics-and-astronomy",
+    "hep-th": "physics-and-astronomy",
+    "math": "mathematics",
+    "math-ph": "physics-and-astronomy",
+    "nlin": "physics-and-astronomy",
+    "nucl-ex": "physics-and-astronomy",
+    "nucl-th": "physics-and-astronomy",
+    "physics": "physics-and-astronomy",
+    "q-bio": "agricultural-and-biological-sciences",
+    "q-fin": "economics-econometrics-and-finance",
+    "quant-ph": "physics-and-astronomy",
+    "stat": "mathematics",
+}
+#: The field of each arXiv category that differs from its archive's.
 ARXIV_CATEGORIES = {
-    "materials-science": "cond-mat.mtrl-sci", "earth-and-planetary-sciences": "physics.ao-ph physics.geo-ph", "chemistry": "physics.chem-ph", "medicine": "physics.med-ph", "social-sciences": "physics.soc-ph",
-    "biochemistry-genetics-and-molecular-biology": "q-bio.bm q-bio.cb q-bio.gn q-bio.mn q-bio.sc", "neuroscience": "q-bio.nc", "computer-science": "stat.ml",
-}
-#: Fields of preprint server categories.
+    "cond-mat.mtrl-sci": "materials-science",
+    "physics.ao-ph": "earth-and-planetary-sciences",
+    "physics.chem-ph": "chemistry",
+    "physics.geo-ph": "earth-and-planetary-sciences",
+    "physics.med-ph": "medicine",
+    "physics.soc-ph": "social-sciences",
+    "q-bio.bm": "biochemistry-genetics-and-molecular-biology",
+    "q-bio.cb": "biochemistry-genetics-and-molecular-biology",
+    "q-bio.gn": "biochemistry-genetics-and-molecular-biology",
+    "q-bio.mn": "biochemistry-genetics-and-molecular-biology",
+    "q-bio.nc": "neuroscience",
+    "q-bio.sc": "biochemistry-genetics-and-molecular-biology",
+    "stat.ml": "computer-science",
+}
+#: The field of each preprint server category.
 PREPRINT_CATEGORIES = {
-    "agricultural-and-biological-sciences": "animal behavior and cognition|ecology|evolutionary biology|plant biology|zoology",
-    "biochemistry-genetics-and-molecular-biology": "biochemistry|bioinformatics|biophysics|cancer biology|cell biology|developmental biology|genetics|genomics|molecular biology|physiology|synthetic biology|systems biology",
-    "engineering": "bioengineering", "immunology-and-microbiology": "immunology|microbiology|allergy and immunology", "neuroscience": "neuroscience", "earth-and-planetary-sciences": "paleontology",
-    "pharmacology-toxicology-and-pharmaceutics": "pharmacology and toxicology|pharmacology and therapeutics|toxicology", "social-sciences": "scientific communication and education",
-    "dentistry": "dentistry and oral medicine", "economics-econometrics-and-finance": "health economics", "nursing": "nursing",
-    "health-professions": "health informatics|health systems and quality improvement|rehabilitation medicine and physical therapy",
-    "medicine": "clinical trials|pathology|addiction medicine|anesthesia|cardiovascular medicine|dermatology|emergency medicine|endocrinology|epidemiology|forensic medicine|gastroenterology|genetic and genomic medicine|geriatric medicine|health policy|hematology|hiv aids|infectious diseases|intensive care and critical care medicine|medical education|medical ethics|nephrology|neurology|nutrition|obstetrics and gynecology|occupational and environmental health|oncology|ophthalmology|orthopedics|otolaryngology|pain medicine|palliative medicine|pediatrics|primary care research|psychiatry and clinical psychology|public and global health|radiology and imaging|respiratory medicine|rheumatology|sexual and reproductive health|sports medicine|surgery|transplantation|urology",
-}
+    "addiction medicine": "medicine",
+    "allergy and immunology": "immunology-and-microbiology",
+    "anesthesia": "medicine",
+    "animal behavior and cognition": "agricultural-and-biological-sciences",
+    "biochemistry": "biochemistry-genetics-and-molecular-biology",
+    "bioengineering": "engineering",
+    "bioinformatics": "biochemistry-genetics-and-molecular-biology",
+    "biophysics": "biochemistry-genetics-and-molecular-biology",
+    "cancer biology": "biochemistry-genetics-and-molecular-biology",
+    "cardiovascular medicine": "medicine",
+    "cell biology": "biochemistry-genetics-and-molecular-biology",
+    "clinical trials": "medicine",
+    "dentistry and oral medicine": "dentistry",
+    "dermatology": "medicine",
+    "developmental biology": "biochemistry-genetics-and-molecular-biology",
+    "ecology": "agricultural-and-biological-sciences",
+    "emergency medicine": "medicine",
+    "endocrinology": "medicine",
+    "epidemiology": "medicine",
+    "evolutionary biology": "agricultural-and-biological-sciences",
+    "forensic medicine": "medicine",
+    "gastroenterology": "medicine",
+    "genetic and genomic medicine": "medicine",
+    "genetics": "biochemistry-genetics-and-molecular-biology",
+    "genomics": "biochemistry-genetics-and-molecular-biology",
+    "geriatric medicine": "medicine",
+    "health economics": "economics-econometrics-and-finance",
+    "health informatics": "health-professions",
+    "health policy": "medicine",
+    "health systems and quality improvement": "health-professions",
+    "hematology": "medicine",
+    "hiv aids": "medicine",
+    "immunology": "immunology-and-microbiology",
+    "infectious diseases": "medicine",
+    "intensive care and critical care medicine": "medicine",
+    "medical education": "medicine",
+    "medical ethics": "medicine",
+    "microbiology": "immunology-and-microbiology",
+    "molecular biology": "biochemistry-genetics-and-molecular-biology",
+    "nephrology": "medicine",
+    "neurology": "medicine",
+    "neuroscience": "neuroscience",
+    "nursing": "nursing",
+    "nutrition": "medicine",
+    "obstetrics and gynecology": "medicine",
+    "occupational and environmental health": "medicine",
+    "oncology": "medicine",
+    "ophthalmology": "medicine",
+    "orthopedics": "medicine",
+    "otolaryngology": "medicine",
+    "pain medicine": "medicine",
+    "paleontology": "earth-and-planetary-sciences",
+    "palliative medicine": "medicine",
+    "pathology": "medicine",
+    "pediatrics": "medicine",
+    "pharmacology and therapeutics": "pharmacology-toxicology-and-pharmaceutics",
+    "pharmacology and toxicology": "pharmacology-toxicology-and-pharmaceutics",
+    "physiology": "biochemistry-genetics-and-molecular-biology",
+    "plant biology": "agricultural-and-biological-sciences",
+    "primary care research": "medicine",
+    "psychiatry and clinical psychology": "medicine",
+    "public and global health": "medicine",
+    "radiology and imaging": "medicine",
+    "rehabilitation medicine and physical therapy": "health-professions",
+    "respiratory medicine": "medicine",
+    "rheumatology": "medicine",
+    "scientific communication and education": "social-sciences",
+    "sexual and reproductive health": "medicine",
+    "sports medicine": "medicine",
+    "surgery": "medicine",
+    "synthetic biology": "biochemistry-genetics-and-molecular-biology",
+    "systems biology": "biochemistry-genetics-and-molecular-biology",
+    "toxicology": "pharmacology-toxicology-and-pharmaceutics",
+    "transplantation": "medicine",
+    "urology": "medicine",
+    "zoology": "agricultural-and-biological-sciences",
+}
 
 
 def _lookup(table: dict[str, str]) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items()))
 
 
-def _inverted(table: dict[str, str], by: str) -> dict[str, str]:
-    return {word: slug for slug, words in table.items() for word in words.split(by)}
-
-
 def field_of(scheme: Column, value: Column) -> Column:
     """The field of one topic: an aggregator's by its field label, arXiv's by category, then archive, a preprint server's by name."""
     low = F.lower(F.trim(value))
-    arxiv = F.coalesce(_lookup(_inverted(ARXIV_CATEGORIES, " "))[low], _lookup(_inverted(ARXIV_ARCHIVES, " "))[F.split(low, r"\.")[0]])
+    arxiv = F.coalesce(_lookup(ARXIV_CATEGORIES)[low], _lookup(ARXIV_ARCHIVES)[F.split(low, r"\.")[0]])
     labels = _lookup({k.lower(): v for k, v in SLUGS.items()})[low]
-    return F.when(scheme == "openalex", labels).when(scheme == "arxiv", arxiv).when(scheme == "biorxiv", _lookup(_inverted(PREPRINT_CATEGORIES, "|"))[low])
+    return F.when(scheme == "openalex", labels).when(scheme == "arxiv", arxiv).when(scheme == "biorxiv", _lookup(PREPRINT_CATEGORIES)[low])
 
 
 def fields_of(topics: Column) -> Column:

@@ -28,14 +28,16 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.coalesce(x.cast("double") / F.nullif(n, F.lit(0.0)), F.lit(0.0)))
 
 
-def similarities(df: DataFrame, id_col: str, vec_col: str, queries: Sequence[Sequence[float]]) -> DataFrame:
+def similarities(df: DataFrame, id_col: str, vec_col: str, queries: Sequence[Sequence[float]], *, keep: bool = False) -> DataFrame:
     """(id, sims): the cosine of each row's vector to every query, in one pass; rows without a vector of that size are left out.
+    With `keep` also v, the vector itself.
 
     The queries are a caller's handful of interests, so the closure carries them; the table is never shuffled.
     """
     q = np.asarray(queries, np.float64).reshape(len(queries), -1)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     dim = q.shape[1]
+    names = ["id", "sims", "v"] if keep else ["id", "sims"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -47,6 +49,9 @@ def similarities(df: DataFrame, id_col: str, vec_col: str, queries: Sequence[Seq
             sims = (x[ok] @ q.T) / n[ok, None]
             flat = pa.array(sims.ravel(), pa.float64())
             offsets = pa.array(np.arange(0, sims.size + 1, len(q) or 1, dtype=np.int32)) if len(sims) else pa.array([0], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[ok])).cast(pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["id", "sims"])
+            out = [b.column(0).take(pa.array(at[ok])).cast(pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
+            if keep:
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, x[ok].size + 1, dim, dtype=np.int32)), pa.array(x[ok].ravel())))
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).where("v IS NOT NULL").mapInArrow(run, "id bigint, sims array<double>")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).where("v IS NOT NULL").mapInArrow(run, "id bigint, sims array<double>" + (", v array<double>" if keep else ""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,6 +122,34 @@ def folded(c: DataFrame) -> DataFrame:
     )
 
 
+def united(df: DataFrame, key: str, lists: str, at: str, *, same: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, lists): the distinct members of all lists of a key, each as it was first spelled, in order of arrival.
+
+    `at` says when a row came in; `same` maps a member to what makes it equal to others (keywords: their folded form). Members
+    are made distinct before they are gathered, so that a key with very many rows costs no more than its distinct members.
+    """
+    each = df.select(key, F.col(at).alias("_at"), F.posexplode(lists).alias("_place", "_member")).where("_member IS NOT NULL")
+    each = each.withColumn("_same", same(F.col("_member")) if same else F.col("_member"))
+    first = each.groupBy(key, "_same").agg(F.min(F.struct("_at", "_place", F.col("_member").alias("_shown"))).alias("f"))
+    listed = F.array_sort(F.collect_list(F.struct("f._at", "f._place", "f._shown")))
+    return first.groupBy(key).agg(F.transform(listed, lambda x: x["_shown"]).alias(lists))
+
+
+def united_topics(df: DataFrame, key: str, topics: str, at: str) -> DataFrame:
+    """The same for topics (structs with scheme and id): one per scheme and id, the first to come in wins."""
+    return united(df, key, topics, at, same=lambda t: F.concat_ws(":", t.scheme, t.id))
+
+
+def united_keywords(df: DataFrame, key: str, keywords: str, at: str) -> DataFrame:
+    """The same for keywords: one per folded form, the first spelling wins."""
+    return united(df, key, keywords, at, same=lambda k: F.lower(F.trim(k)))
+
+
+def most_open(status: Column) -> Column:
+    """An aggregate: of several open access statuses the most open one; an unknown word counts as unknown."""
+    return F.max_by(status, F.coalesce(looked_up(OA_RANK, status, 0), F.lit(0)))
+
+
 def merge_audit(assigned: DataFrame, stored: DataFrame) -> DataFrame:
     """assigned(record, paper), stored(record, paper) -> (winner, loser, records): stored papers that now belong to another."""
     x = assigned.withColumnRenamed("paper", "winner").join(stored.withColumnRenamed("paper", "loser"), "record")

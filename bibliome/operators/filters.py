@@ -18,7 +18,8 @@ FLAGGED = ("retracted", "corrected", "concern")
 @dataclass(frozen=True)
 class SearchFilters:
     """What a reader may narrow a search by; None or empty doesn't filter. retraction is 'exclude', 'all' or 'only'; preprints
-    'any', 'only' or 'exclude'. Values of `columns` name the columns of the table at hand; absent ones aren't filtered on."""
+    'any', 'only' or 'exclude'. Values of `columns` name the columns of the table at hand; a filter on a column the table doesn't have is an error, but for
+    the default of leaving out retracted papers."""
 
     published_from: date | None = None
     published_to: date | None = None
@@ -32,7 +33,14 @@ class SearchFilters:
 
 
 def conditions(f: SearchFilters, columns: dict[str, str]) -> list[Column]:
-    """Predicates for the columns the table has; the sources filter is a semi-join, see filtered()."""
+    """Predicates, one for each filter that is set; the sources filter is a semi-join, see filtered()."""
+    asked = {
+        "date": f.published_from or f.published_to, "preprint": f.preprints != "any", "reviewed": f.peer_reviewed_only, "oa": f.open_access_only, "fields": f.fields,
+        "language": f.languages, "retraction": f.retraction == "only",
+    }
+    absent = [name for name, on in asked.items() if on and name not in columns]
+    if absent:
+        raise ValueError(f"no column to filter by: {absent}")
     col = lambda name: F.col(columns[name]) if name in columns else None
     out: list[Column | None] = []
     day, preprint, reviewed, oa, fields, lang, status = (col(n) for n in ("date", "preprint", "reviewed", "oa", "fields", "language", "retraction"))
@@ -57,7 +65,9 @@ def filtered(df: DataFrame, f: SearchFilters, columns: dict[str, str], records:
     """df under all filters; a source filter keeps papers of which any record came from one of the sources."""
     found = conditions(f, columns)
     out = df.where(reduce(and_, found)) if found else df
-    if f.sources and records is not None:
+    if f.sources:
+        if records is None:
+            raise ValueError("a filter by sources needs the records")
         out = out.join(records.where(F.col("source_key").isin(*f.sources)).select(on), on, "left_semi")
     return out
 

@@ -99,7 +99,8 @@ _HITS = "array<struct<pos:int, label:string>>"
 def postings(df: DataFrame, id_col: str, fields: Mapping[str, str], *, stemmed: bool = True) -> DataFrame:
     """(term, id, hits, length): fields maps columns to weight labels; positions run on from field to field.
 
-    Written once, partitioned by term, it serves every query; each posting holds one term of one text.
+    Written once, partitioned by term, it serves every query; each posting holds one term of one text. Under the empty term stands
+    every text, also one without words, for queries that only exclude.
     """
     columns = list(fields)
     labels = [fields[c] for c in columns]
@@ -116,6 +117,7 @@ def postings(df: DataFrame, id_col: str, fields: Mapping[str, str], *, stemmed:
                         hits.setdefault(t, []).append((at + p, mark))
                     size += len(found)
                     at += (found[-1][0] if found else 0) + 8
+                hits[""] = []
                 for t, h in hits.items():
                     term.append(t)
                     pos += [p for p, _ in h]
@@ -160,19 +162,25 @@ def matches(query: Query, at: Mapping[str, Sequence[int]]) -> bool:
     return all(any(_holds(a, at) != a.negated for a in clause) for clause in query.clauses)
 
 
+def _read(query: Query) -> list[str]:
+    """The terms whose postings a query needs: its own, and those of all texts if a text with none of them satisfies it."""
+    return [*query.terms, *([""] if query.clauses and matches(query, {}) else [])]
+
+
 def evaluate(index: DataFrame, query: Query) -> DataFrame:
     """(id, matched, score) of the texts that satisfy the query: matched counts its terms, score is cover density normalised
-    by text length and mapped to 0..1. Only postings of the query's terms are read."""
-    wanted = [t for t in query.terms]
+    by text length and mapped to 0..1. Only postings of the query's terms are read, unless exclusions alone can satisfy it: then
+    those of all texts too, and a text with none of the terms scores 0."""
+    wanted = _read(query)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i, length, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at = {x["term"]: {h["pos"] for h in x["hits"]} for x in found}
+                at = {x["term"]: {h["pos"] for h in x["hits"]} for x in found if x["term"]}
                 if matches(query, at):
-                    hits = [(h["pos"], x["term"], WEIGHTS[h["label"]]) for x in found for h in x["hits"]]
-                    rank = cover_density(hits, len(at)) / (1 + math.log(max(1, length)))
+                    hits = [(h["pos"], x["term"], WEIGHTS[h["label"]]) for x in found for h in x["hits"] if x["term"]]
+                    rank = cover_density(hits, len(at)) / (1 + math.log(max(1, length))) if hits else 0.0
                     out.append((i, len(at), rank / (rank + 1)))
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.float64()), strict=True)], ["id", "matched", "score"])
@@ -183,7 +191,7 @@ def evaluate(index: DataFrame, query: Query) -> DataFrame:
 
 def evaluate_many(index: DataFrame, queries: Mapping[str, Query], limit: int) -> DataFrame:
     """(query, id, score, rank): the best texts of each of a handful of queries, all in one pass over their terms' postings."""
-    wanted = sorted({t for q in queries.values() for t in q.terms})
+    wanted = sorted({t for q in queries.values() for t in _read(q)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,8 +200,8 @@ def evaluate_many(index: DataFrame, queries: Mapping[str, Query], limit: int) ->
                 at = {x["term"]: {h["pos"]: WEIGHTS[h["label"]] for h in x["hits"]} for x in found}
                 for name, q in queries.items():
                     own = {t: at[t] for t in q.terms if t in at}
-                    if own and matches(q, own):
-                        rank = cover_density([(p, t, w) for t, h in own.items() for p, w in h.items()], len(own)) / (1 + math.log(max(1, length)))
+                    if q.clauses and matches(q, own):
+                        rank = cover_density([(p, t, w) for t, h in own.items() for p, w in h.items()], len(own)) / (1 + math.log(max(1, length))) if own else 0.0
                         out.append((name, i, rank / (rank + 1)))
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.float64()), strict=True)], ["query", "id", "score"])

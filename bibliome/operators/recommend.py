@@ -256,12 +256,13 @@ def pooled(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("origin", "strength"))).alias("origins"), F.count_distinct("origin").alias("agreement"))
 
 
-def within_budget(sources: Sequence[DataFrame], total: int) -> DataFrame:
-    """Sources one after another, each given an equal part of what is left of the budget of distinct candidates."""
+def within_budget(sources: Sequence[DataFrame], total: int, own: Mapping[int, int] | None = None) -> DataFrame:
+    """Sources one after another, each given an equal part of what is left of the budget of distinct candidates, the strongest
+    first and ties by id; `own` gives single sources (by place) a number of their own. What is counted is bounded by the budget."""
     taken: DataFrame | None = None
     for n, src in enumerate(sources):
         left = total - (taken.select("id").distinct().count() if taken is not None else 0)
-        part = src.limit(max(1, left // (len(sources) - n)))
+        part = src.orderBy(F.desc("strength"), "id").limit((own or {}).get(n, max(1, left // (len(sources) - n))))
         taken = part if taken is None else taken.unionByName(part)
     return pooled(taken)
 

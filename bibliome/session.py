@@ -34,9 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where it names none (tests), a temporary one."""
+    """Use the folder the cluster names in spark.checkpoint.dir; only where it names none on a single machine (tests), a temporary
+    one. A cluster that names none is an error: other machines couldn't read a local folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "bibliome-checkpoints"))
 
 

@@ -103,9 +103,12 @@ def doi_batches(dois: list[str], size: int = 50) -> list[list[str]]:
 def recorded(path: str) -> Callable[[str | None], tuple[list[dict], str | None]]:
     """A transport over a JSON-lines file of pages {"records": [...], "next": cursor}, the first one's cursor being null."""
 
+    pages: list[dict] = []
+
     def page(cursor: str | None) -> tuple[list[dict], str | None]:
-        with open(path, encoding="utf-8") as f:
-            pages = [json.loads(line) for line in f if line.strip()]
+        if not pages:  # read and parsed once
+            with open(path, encoding="utf-8") as f:
+                pages.extend(json.loads(line) for line in f if line.strip())
         at = 0 if cursor in (None, "") else int(cursor)
         return (pages[at]["records"], str(at + 1) if at + 1 < len(pages) else None) if at < len(pages) else ([], None)
 
@@ -134,14 +137,19 @@ class PagedReader(DataSourceReader):
         return [InputPartition(e) for e in self.options.get("expressions", "").split(";")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        page, cursor, seen = _transport(self.options | {"expression": partition.value}), None, set()
-        for _ in range(int(self.options.get("max_pages", "500"))):
+        """All pages, from the option `cursor` on if it is given; a read that must stop at `max_pages` fails and names the cursor
+        to go on from, since rows that are silently missing look like a whole source."""
+        page, cursor, seen = _transport(self.options | {"expression": partition.value}), self.options.get("cursor") or None, set()
+        most = int(self.options.get("max_pages", "0"))
+        while True:
             records, nxt = page(cursor)
             yield from _rows(self.options, records)
             if nxt is None or nxt in seen:  # a cursor that comes back has stalled
                 return
             seen.add(nxt)
             cursor = nxt
+            if most and len(seen) >= most:
+                raise RuntimeError(f"{most} pages read, more are left; go on from cursor {cursor!r}")
 
 
 class PagedStream(SimpleDataSourceStreamReader):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,21 +53,32 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoi
 
 
 def append_new(path: str, key: str = "event_id") -> Callable[[DataFrame, int], None]:
-    """A sink that appends only rows whose key the table doesn't hold, so that replayed batches change nothing."""
+    """A sink that appends only rows whose key the table doesn't hold, so that replayed batches change nothing.
+
+    The table is partitioned by day; an event keeps its time however often it is delivered, so a batch is held only against the
+    days it has events of. Events without a time share one partition.
+    """
 
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        try:
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("append").parquet(path)
+        new = batch.dropDuplicates([key]).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+        if _exists(spark, path):
+            days = [r.day for r in new.select("day").distinct().collect()]  # the days of one micro-batch
+            held = spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, day string").parquet(path)
+            here = F.col("day").isin([d for d in days if d]) | (F.col("day").isNull() if None in days else F.lit(False))
+            new = new.join(held.where(here).select(key), key, "left_anti")
+        new.write.mode("append").partitionBy("day").parquet(path)
 
     return sink
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder holds any partition yet; the first batch finds none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(folder) and any("day=" in str(f.getPath()) for f in fs.listStatus(folder))
+
+
 _STEP = LEARNING_RATE
 
 
@@ -80,13 +91,19 @@ def _fold(weight: float, deltas: list[float]) -> float:
 def learned_weights(signals: DataFrame) -> DataFrame:
     """signals(user_id, feature, ts, event_id, direction, value) -> (user_id, feature, weight, observations).
 
-    Each signal moves a weight by a small step, held within -1..1 after every step, in order of time; the clamp makes the order
-    matter, so each reader's signals are folded by a native ordered aggregate.
+    Each signal moves a weight by a small step, held within -1..1 after every step, in order of time. Steps with a clamp make up a
+    shift between two bounds, and such shifts are put together without knowing the weight they start from: each hour of a
+    reader's signals becomes one, spread over tasks however busy the reader, and the hours are put together in order.
     """
     step = (F.lit(_STEP) * F.col("direction") * F.col("value")).alias("d")
-    x = signals.where("value BETWEEN 0 AND 1").groupBy("user_id", "feature").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", step))).alias("s"))
-    moved = F.aggregate("s", F.lit(0.0), lambda w, e: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), w + e.d)))
-    return x.select("user_id", "feature", moved.alias("weight"), F.size("s").alias("observations"))
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")
+    x = signals.where("value BETWEEN 0 AND 1").groupBy("user_id", "feature", hour).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", step))).alias("s"))
+    held = lambda v, low, high: F.least(high, F.greatest(low, v))
+    start = F.struct(F.lit(0.0).alias("by"), F.lit(-1.0).alias("low"), F.lit(1.0).alias("high"))
+    one = F.aggregate("s", start, lambda a, e: F.struct((a.by + e.d).alias("by"), held(a.low + e.d, F.lit(-1.0), F.lit(1.0)).alias("low"), held(a.high + e.d, F.lit(-1.0), F.lit(1.0)).alias("high")))
+    parts = x.select("user_id", "feature", "hour", one.alias("m"), F.size("s").alias("n")).groupBy("user_id", "feature")
+    whole = parts.agg(F.array_sort(F.collect_list(F.struct("hour", "m"))).alias("h"), F.sum("n").cast("int").alias("observations"))
+    return whole.select("user_id", "feature", F.aggregate("h", F.lit(0.0), lambda w, p: held(w + p.m.by, p.m.low, p.m.high)).alias("weight"), "observations")
 
 
 def learned_weights_stream(signals: DataFrame) -> DataFrame:

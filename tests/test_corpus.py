@@ -87,7 +87,7 @@ def test_fuzzy_pairs_of_titles_and_authors_in_any_script(spark, tmp_path):
         if title[a] == title[b] and family[a] == family[b] and (ya is None or yb is None or abs(int(ya) - int(yb)) <= 1) and not (da and db and da != db):
             want.add((a, b, 1.0))
     assert want == {(1, 2, 1.0), (3, 4, 1.0), (5, 6, 1.0)}
-    assert {tuple(r) for r in queries.QUERIES["dedup_trigram_pairs_whole"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in queries.QUERIES["dedup_trigram_pairs"](spark, str(tmp_path)).collect()} == want
 
 
 def test_candidates_and_fold(spark):
