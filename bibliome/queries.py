@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from bibliome.functions import dates, ids, scores, taxonomy, text
 from bibliome.functions.embedding import HashedWords, embedded
 from bibliome.functions.vectors import cosine
-from bibliome.operators import corpus, evaluation, filters, fusion, lexical, recommend, semantic
+from bibliome.operators import corpus, evaluation, filters, fusion, lexical, normalise, recommend, semantic
 from bibliome.operators.components import components
 from bibliome.operators.shred import payload_children
 from bibliome.operators.unpack import notice_values
@@ -470,6 +470,70 @@ def normalise_candidates(spark: SparkSession, d: str) -> DataFrame:
     return corpus.candidates(table(spark, d, "source_record")).select("record_id", "source_key", "title", "doi", "published", "venue")
 
 
+# ---- whole candidates of each source ---------------------------------------------------------------------------------------------------------------
+
+_SHOWN = "nullif(trim(regexp_replace(regexp_replace(" + _UNESC + ", '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '')"
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return normalise.candidates_of(table(spark, d, "source_record"), named=False)
+
+
+@query(
+    "SELECT * FROM (SELECT record_id, CASE source_key WHEN 'openalex' THEN coalesce(" + _SHOWN.format(c="p ->> '$.title'") + ", " + _SHOWN.format(c="p ->> '$.display_name'") + ") ELSE " + _SHOWN.format(c="p ->> '$.title'") + " END AS title, "
+    + _DOI.format(c="p ->> '$.doi'") + " AS doi, source_key IN ('arxiv', 'biorxiv') AS is_preprint, source_key = 'pubmed' OR (source_key = 'arxiv' AND " + _SHOWN.format(c="coalesce(p ->> '$.\"journal-ref\"', '')") + " IS NOT NULL) AS is_peer_reviewed,"
+    " CASE source_key WHEN 'openalex' THEN 'unknown' WHEN 'europepmc' THEN 'closed' WHEN 'pubmed' THEN 'unknown' ELSE 'green' END AS oa_status, CASE WHEN source_key IN ('arxiv', 'biorxiv') THEN 'en' END AS language"
+    " FROM (SELECT *, try_cast(payload AS JSON) AS p FROM source_record)) WHERE title IS NOT NULL"
+)
+def normalise_whole(spark: SparkSession, d: str) -> DataFrame:
+    doi = F.get(F.filter("identifiers", lambda i: i["id_type"] == "doi"), F.lit(0))["value"]
+    return _candidates(spark, d).select("record_id", "title", doi.alias("doi"), "is_preprint", "is_peer_reviewed", "oa_status", "language")
+
+
+@query(
+    "SELECT record_id, name, venue_type FROM (SELECT record_id, CASE source_key WHEN 'openalex' THEN " + _SHOWN.format(c="p ->> '$.primary_location.source.display_name'") + " WHEN 'europepmc' THEN " + _SHOWN.format(c="p ->> '$.journalInfo.journal.title'")
+    + " WHEN 'pubmed' THEN " + _SHOWN.format(c="p ->> '$.journal'") + " WHEN 'arxiv' THEN 'arXiv' ELSE CASE lower(coalesce(p ->> '$.server', 'biorxiv')) WHEN 'biorxiv' THEN 'bioRxiv' WHEN 'medrxiv' THEN 'medRxiv' ELSE p ->> '$.server' END END AS name,"
+    " CASE WHEN source_key IN ('europepmc', 'pubmed') THEN 'journal' WHEN source_key = 'openalex' THEN p ->> '$.primary_location.source.type' ELSE 'preprint_server' END AS venue_type,"
+    " coalesce(" + _SHOWN.format(c="p ->> '$.title'") + ", CASE WHEN source_key = 'openalex' THEN " + _SHOWN.format(c="p ->> '$.display_name'") + " END) AS title FROM (SELECT *, try_cast(payload AS JSON) AS p FROM source_record)) WHERE name IS NOT NULL AND title IS NOT NULL"
+)
+def normalise_venues(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d).where("venue IS NOT NULL").select("record_id", "venue.name", "venue.venue_type")
+
+
+def _europepmc(spark: SparkSession, d: str) -> DataFrame:
+    """(article_id, j): the articles' payloads as the source's own record; where one is wrapped, the record inside."""
+    schema = normalise.PAYLOADS["europepmc"]
+    wrapped = F.coalesce(F.get_json_object("payload", "$.resultList.result[0]"), F.get_json_object("payload", "$.result"))
+    record = F.when(F.col("payload").contains('"result'), F.coalesce(wrapped, F.col("payload"))).otherwise(F.col("payload"))
+    return table(spark, d, "epmc_article").where("payload LIKE '{%' AND get_json_object(payload, '$') IS NOT NULL").select("article_id", F.from_json(record, schema).alias("j"))
+
+
+_EPMC = """e AS (SELECT article_id, CASE WHEN json_type(j -> '$.resultList.result[0]') = 'OBJECT' THEN j -> '$.resultList.result[0]' WHEN json_type(j -> '$.result') = 'OBJECT' THEN j -> '$.result' ELSE j END AS j
+ FROM (SELECT article_id, try_cast(payload AS JSON) AS j FROM epmc_article WHERE payload LIKE '{%'))"""
+_TYPE_RANK = "CASE t " + " ".join(f"WHEN '{k}' THEN {normalise.TYPE_ORDER.index(v)}" for k, v in normalise.PUBLICATION_TYPES.items()) + " END"
+
+
+@query(
+    f"""WITH {_EPMC}, t AS (SELECT article_id, lower(trim(unnest(CAST(CASE WHEN json_type(j -> '$.pubTypeList.pubType') = 'ARRAY' THEN j -> '$.pubTypeList.pubType' END AS VARCHAR[])))) AS t FROM e),
+b AS (SELECT article_id, [{", ".join(f"'{x}'" for x in normalise.TYPE_ORDER)}][min({_TYPE_RANK}) + 1] AS work_type, bool_or(t IN ('retracted publication', 'retracted-article')) AS retracted FROM t GROUP BY article_id)
+SELECT article_id, work_type, coalesce(retracted, false) AS retracted FROM e LEFT JOIN b USING (article_id) WHERE j IS NOT NULL"""
+)
+def normalise_work_types(spark: SparkSession, d: str) -> DataFrame:
+    x = _europepmc(spark, d).where("j IS NOT NULL")
+    retracted = F.arrays_overlap(normalise.publication_types(F.col("j")), F.array(*map(F.lit, normalise.RETRACTED_TYPES)))
+    return x.select("article_id", normalise.work_type(F.col("j"), F.lit(False)).alias("work_type"), retracted.alias("retracted"))
+
+
+@query(f"""WITH {_EPMC}, u AS (SELECT article_id, unnest(CAST(x AS JSON[])) AS u, generate_subscripts(CAST(x AS JSON[]), 1) AS n FROM (SELECT article_id, CASE WHEN json_type(j -> '$.fullTextUrlList.fullTextUrl') = 'ARRAY' THEN j -> '$.fullTextUrlList.fullTextUrl' ELSE '[]'::JSON END AS x FROM e)),
+f AS (SELECT article_id, n, coalesce(u ->> '$.site', 'unknown') AS site, u ->> '$.url' AS url, coalesce(lower(u ->> '$.documentStyle') = 'pdf', false) AS pdf FROM u WHERE length(u ->> '$.url') > 0 AND u ->> '$.availabilityCode' IN ('OA', 'F')),
+s AS (SELECT article_id, site, min(n) AS n, arg_min(url, n) FILTER (WHERE NOT pdf) AS page, arg_min(url, n) FILTER (WHERE pdf) AS pdf_url FROM f GROUP BY article_id, site)
+SELECT article_id, row_number() OVER (PARTITION BY article_id ORDER BY n) AS place, coalesce(page, pdf_url) AS url, pdf_url, replace(site, '_', ' ') AS source_name, site = coalesce(max(CASE WHEN site = 'Europe_PMC' THEN site END) OVER (PARTITION BY article_id), arg_min(site, n) OVER (PARTITION BY article_id)) AS is_best FROM s""")
+def normalise_site_locations(spark: SparkSession, d: str) -> DataFrame:
+    places = normalise.site_locations(F.col("j"), F.lit(False))
+    x = _europepmc(spark, d).where("j IS NOT NULL").select("article_id", F.posexplode(places).alias("p", "x"))
+    return x.select("article_id", (F.col("p") + 1).alias("place"), "x.url", "x.pdf_url", "x.source_name", "x.is_best")
+
+
 _TRUST = "CASE source_key WHEN 'openalex' THEN 30 WHEN 'pubmed' THEN 25 WHEN 'europepmc' THEN 22 WHEN 'biorxiv' THEN 20 WHEN 'arxiv' THEN 10 ELSE 0 END"
 
 
