@@ -17,6 +17,7 @@ TITLE_TRUST = {"openalex": 30, "pubmed": 25, "europepmc": 22, "biorxiv": 20, "ar
 ABSTRACT_TRUST = {"pubmed": 50, "europepmc": 40, "openalex": 30, "biorxiv": 20, "arxiv": 10}
 #: How open a status is, how complete a version, a host and a licence are, and how grave a notice is.
 OA_RANK = {"unknown": 0, "closed": 1, "bronze": 2, "green": 3, "hybrid": 4, "gold": 5, "diamond": 6}
+VERSION_RANK = {"publishedVersion": 3, "acceptedVersion": 2, "submittedVersion": 1, "unknown": 0}
 HOST_RANK = {"publisher": 3, "repository": 2, "preprint": 1, "unknown": 0}
 LICENCE_RANK = {"cc0": 4, "cc-by": 3, "cc-by-sa": 2, "cc-by-nc": 1}
 NATURE_STATUS = {"retraction": "retracted", "expression of concern": "concern", "correction": "corrected", "reinstatement": "none"}
@@ -180,11 +181,13 @@ def worst_status(notices: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def best_locations(locations: DataFrame) -> DataFrame:
-    """locations(paper, url, host_type, licence, pdf_url, at) -> one row per paper and url, gaps filled in order of arrival, with
-    is_best on the one of the best host and licence; of equal ones the first."""
+    """locations(paper, url, host_type, licence, pdf_url, at, and if known version, source_name) -> one row per paper and url, gaps
+    filled in order of arrival, with is_best on the one of the best version, host and licence; of equal ones the first."""
     fill = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
-    one = locations.groupBy("paper", "url").agg(fill("host_type"), fill("licence"), fill("pdf_url"), F.min("at").alias("at"))
-    rank = F.row_number().over(Window.partitionBy("paper").orderBy(F.desc(looked_up(HOST_RANK, F.col("host_type"), 0)), F.desc(looked_up(LICENCE_RANK, F.lower("licence"), 0)), "at", "url"))
+    more = [c for c in ("version", "source_name") if c in locations.columns]
+    one = locations.groupBy("paper", "url").agg(*map(fill, ["host_type", "licence", "pdf_url", *more]), F.min("at").alias("at"))
+    version = [F.desc(looked_up(VERSION_RANK, F.col("version"), 0))] if "version" in more else []
+    rank = F.row_number().over(Window.partitionBy("paper").orderBy(*version, F.desc(looked_up(HOST_RANK, F.col("host_type"), 0)), F.desc(looked_up(LICENCE_RANK, F.lower("licence"), 0)), "at", "url"))
     return one.withColumn("is_best", rank == 1)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,6 +75,50 @@ def feed_description(feed: DataFrame, today: str) -> DataFrame:
     return base.join(topic, "feed", "left").select("feed", "size", F.coalesce("topics", F.lit(0)).alias("topics"), F.coalesce(F.col("most") / F.col("size"), F.lit(0.0)).alias("max_topic_share"), "median_age", "fresh_share", "interests")
 
 
+def intra_list_diversity(items: DataFrame) -> float:
+    """items(id, vector), one short list -> mean dissimilarity of its pairs; 1 for fewer than two, and unknown vectors are unlike."""
+    rows = [np.asarray(r.vector, float) if r.vector else None for r in items.select("vector").collect()]  # a page's worth
+    if len(rows) < 2:
+        return 1.0
+    unit = [v / n if v is not None and (n := np.linalg.norm(v)) > 0 else None for v in rows]
+    alike = [min(1.0, max(0.0, float(a @ b))) if a is not None and b is not None and a.shape == b.shape else 0.0 for i, a in enumerate(unit) for b in unit[i + 1 :]]
+    return 1.0 - sum(alike) / len(alike)
+
+
+def overall(runs: DataFrame, grades: DataFrame) -> DataFrame:
+    """(judged, pooled, share): over all queries, how many of the pooled papers have a grade."""
+    p = pool(runs).join(grades.where("grade IS NOT NULL").select("query", "id", F.lit(1).alias("j")), ["query", "id"], "left")
+    return p.agg(F.count("j").alias("judged"), F.count("*").alias("pooled"), F.coalesce(F.count("j") / F.nullif(F.count("*").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("share"))
+
+
+def feed_scores(feed: DataFrame, grades: DataFrame, k: int = DEPTH) -> DataFrame:
+    """feed(feed, id, rank), grades(feed, id, grade) -> (feed, judged, precision, ndcg, reportable): scores are null where nothing is
+    judged, and fit to be reported only where everything shown is."""
+    x = feed.where(F.col("rank") <= k).join(grades.where("grade IS NOT NULL").select("feed", "id", "grade"), ["feed", "id"], "left")
+    best = x.where("grade IS NOT NULL").withColumn("place", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("grade"), "id")))
+    ideal = best.groupBy("feed").agg(F.sum(gain(F.col("grade"), F.col("place"))).alias("ideal"))
+    g = F.coalesce("grade", F.lit(0))
+    one = x.groupBy("feed").agg(F.count("grade").alias("judged"), F.count("*").alias("shown"), F.count_if(g >= RELEVANT).alias("hits"), F.sum(gain(g, F.col("rank"))).alias("dcg")).join(ideal, "feed", "left")
+    some = F.col("judged") > 0
+    return one.select("feed", "judged", F.when(some, F.col("hits") / k).alias("precision"), F.when(some, F.coalesce(F.col("dcg") / F.nullif(F.col("ideal"), F.lit(0.0)), F.lit(0.0))).alias("ndcg"), (F.col("judged") == F.col("shown")).alias("reportable"))
+
+
+def graded(judgments: DataFrame, query: str, paper: str, grade: int, judge: str, at: str) -> DataFrame:
+    """judgments with one grade (0 to 3) stamped, its judge and time beside; an unknown pair becomes a new row."""
+    if grade not in range(4):
+        raise ValueError(f"a grade is 0, 1, 2 or 3, not {grade!r}")
+    here = (F.col("query_id") == query) & (F.col("paper_id") == paper)
+    stamped = judgments.withColumns({n: F.when(here, F.lit(v).cast(dict(judgments.dtypes)[n])).otherwise(F.col(n)) for n, v in (("grade", grade), ("judge", judge), ("judged_at", at))})
+    new = judgments.sparkSession.createDataFrame([(query, paper, grade, judge, at)], "query_id string, paper_id string, grade int, judge string, judged_at string")
+    return stamped.unionByName(new.join(judgments.where(here).select("query_id", "paper_id"), ["query_id", "paper_id"], "left_anti"), allowMissingColumns=True)
+
+
+def grade_map(judgments: DataFrame) -> DataFrame:
+    """(query, grades map<paper, grade>) of what is judged."""
+    x = judgments.where("grade IS NOT NULL").groupBy("query_id", "paper_id").agg(F.max("grade").alias("grade"))
+    return x.groupBy(F.col("query_id").alias("query")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("paper_id", "grade")))).alias("grades"))
+
+
 def list_diversity(pairs: DataFrame) -> DataFrame:
     """pairs(feed, a, b, similarity), a before b -> (feed, diversity): mean dissimilarity."""
     return pairs.groupBy("feed").agg(F.avg(1 - F.col("similarity")).alias("diversity"))

@@ -34,6 +34,9 @@ class Interest:
     weight: float = 1.0
     horizon: str = "long"
     negative: bool = False
+    label: str = ""
+    #: Where it came from: 'stated' by the reader, a 'paper' they chose, or 'derived' from their reading.
+    kind: str = "stated"
 
 
 @dataclass(frozen=True)
