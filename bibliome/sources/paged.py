@@ -1,7 +1,7 @@
 """A Python data source for paged APIs: batches and streams of raw records, resumed from a cursor.
 
-What a page is comes from a transport, a function (cursor) -> (records, next cursor or None), found by its dotted name, so that
-the reader itself can be tested on recorded pages. Requests are retried and paced as each source asks.
+What a page is comes from a transport, a function (cursor) -> (records, next cursor or None), named by its source or found by its
+dotted name, so that the reader itself can be tested on recorded pages; a record may come with its id as a pair. Requests are retried and paced as each source asks.
 """
 
 from __future__ import annotations
@@ -118,6 +118,10 @@ def recorded(path: str) -> Callable[[str | None], tuple[list[dict], str | None]]
 def _transport(options: dict[str, str]) -> Callable[[str | None], tuple[list[dict], str | None]]:
     if "path" in options:
         return recorded(options["path"])
+    if "transport" not in options:
+        from bibliome.sources.transports import transport
+
+        return transport(options.get("source", ""), options)
     module, _, name = options["transport"].rpartition(".")
     return getattr(importlib.import_module(module), name)(options)
 
@@ -125,7 +129,8 @@ def _transport(options: dict[str, str]) -> Callable[[str | None], tuple[list[dic
 def _rows(options: dict[str, str], records: list[dict]) -> Iterator[tuple]:
     key = options.get("source", "")
     for r in records:
-        yield key, str(r.get(options.get("id", "id"), "")), json.dumps(r, ensure_ascii=False, sort_keys=True)
+        own, body = r if isinstance(r, tuple) else (r.get(options.get("id", "id"), ""), r)
+        yield key, str(own), json.dumps(body, ensure_ascii=False, sort_keys=True)
 
 
 class PagedReader(DataSourceReader):
@@ -172,7 +177,8 @@ class PagedStream(SimpleDataSourceStreamReader):
 
 
 class PagedSource(DataSource):
-    """format("bibliome_paged") with options source, id, and either path (recorded pages) or transport (dotted factory name)."""
+    """format("bibliome_paged") with options source, id, and path (recorded pages) or transport (dotted factory name);
+    with neither, the source's own transport."""
 
     @classmethod
     def name(cls) -> str:

@@ -4,7 +4,8 @@ import urllib.error
 
 import pytest
 
-from bibliome.sources import landing, paged
+from bibliome.sources import landing, paged, transports
+from tests import served
 
 
 def test_landed_pages(spark, tmp_path):
@@ -98,3 +99,38 @@ def test_fetch_retries_and_paces():
     bucket.take()
     assert slept == [0.5]
     assert paged.wait_before(10, None, lambda: 1.0) == 60.0
+
+
+def read_all(source, **options):
+    page = transports.transport(source, options | {"get": "tests.served.get"})
+    out, cursor = [], None
+    while True:
+        rows, cursor = page(cursor)
+        out += [i for i, _ in rows]
+        if cursor is None:
+            return out
+
+
+def test_every_transport_follows_its_pages():
+    assert read_all("openalex", expression="f:1", since="2024-01-01") == ["W0", "W1"]
+    assert served.ASKED[-1][1] == {"filter": "f:1,from_updated_date:2024-01-01", "per-page": "200", "cursor": "c1", "sort": "updated_date:asc"}
+    assert read_all("arxiv", expression="cs") == ["2401.1", "2401.2"] and served.ASKED[-1][1] == {"verb": "ListRecords", "resumptionToken": "tok"}
+    assert read_all("arxiv", expression="none") == []
+    with pytest.raises(ValueError, match="badArgument"):
+        read_all("arxiv", expression="bad")
+    assert read_all("biorxiv", expression="medrxiv", since="2024-01-01", until="2024-01-08") == ["d0v2", "d1v2", "d2v2"] and served.ASKED[-1][0].endswith("/details/medrxiv/2024-01-01/2024-01-08/2")
+    assert read_all("biorxiv_links", until="2024-01-08") == ["a>b"] and "/2024-01-01/2024-01-08/" in served.ASKED[-1][0]
+    assert read_all("europepmc", expression="q", since="2024-01-01", until="2024-01-08") == ["MED:*", "MED:m2"] and served.ASKED[-1][1]["query"] == "(q) AND (UPDATE_DATE:[2024-01-01 TO 2024-01-08])"
+    assert [i for i, _ in transports.works_by_doi([f"10.1/{n}" for n in range(60)] + ["10.1/a,b"], {"get": "tests.served.get"})] == [f"https://doi.org/10.1/{n}" for n in range(60)]
+    with pytest.raises(ValueError):
+        transports.transport("nowhere", {})
+
+
+def test_transports_through_the_data_source(spark):
+    spark.dataSource.register(paged.PagedSource)
+    load = lambda **o: spark.read.format("bibliome_paged").options(get="tests.served.get", **o).load()
+    got = load(source="biorxiv", expressions="biorxiv;medrxiv", since="2024-01-01", until="2024-01-08").collect()
+    assert sorted(r.source_id for r in got) == sorted(["d0v2", "d1v2", "d2v2"] * 2) and {json.loads(r.payload)["server"] for r in got} == {"biorxiv", "medrxiv"}
+    with pytest.raises(Exception, match="go on from cursor"):
+        load(source="biorxiv", expressions="biorxiv", max_pages="1").collect()
+    assert [r.source_id for r in load(source="biorxiv", expressions="biorxiv", cursor="2").collect()] == ["d2v2"]
