@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -175,6 +175,12 @@ def leading(contributions: Column, most: int = 3) -> Column:
     return F.transform(F.slice(F.array_sort(F.transform(entries, lambda e: F.struct((-e.value).alias("less"), e.key.alias("name")))), 1, most), lambda e: e["name"])
 
 
+def penalties(contributions: Column, most: int = 3) -> Column:
+    """What speaks most against a paper, the worst first."""
+    entries = F.filter(F.map_entries(contributions), lambda e: e.value < 0)
+    return F.transform(F.slice(F.array_sort(F.transform(entries, lambda e: F.struct(e.value.alias("less"), e.key.alias("name")))), 1, most), lambda e: e["name"])
+
+
 @dataclass(frozen=True)
 class Diversity:
     """How relevance is traded for variety; the values are fixed ones."""
@@ -187,58 +193,80 @@ class Diversity:
     same: float = 0.95
     #: What makes two papers alike: 'vector' (cosine) or 'topics' (shared part of their topics); unknown counts as unlike.
     by: str = "vector"
+    #: A function of two rows to use in place of both.
+    alike: Callable[[dict, dict], float] | None = None
+
+
+def _likeness(rows: list[dict], d: Diversity) -> np.ndarray:
+    """How alike each pair of a short list is, 0 to 1; what isn't known counts as unlike."""
+    n = len(rows)
+    out = np.zeros((n, n))
+    if d.alike is not None:
+        for i in range(n):
+            for j in range(i):
+                out[i, j] = out[j, i] = d.alike(rows[i], rows[j])
+    elif d.by == "topics":
+        every = sorted({t for r in rows for t in r["topics"] or ()})
+        has = np.array([[t in (r["topics"] or ()) for t in every] for r in rows], float).reshape(n, len(every))
+        shared = has @ has.T
+        size = has.sum(1)
+        out = np.divide(shared, size[:, None] + size[None] - shared, out=out, where=shared > 0)
+    else:
+        for dim in {len(r["vector"]) for r in rows if r["vector"]}:
+            at = np.array([i for i, r in enumerate(rows) if r["vector"] and len(r["vector"]) == dim])
+            x = np.array([rows[i]["vector"] for i in at], float)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            out[np.ix_(at, at)] = np.clip(np.nan_to_num(x @ x.T), 0.0, 1.0)
+    return out
 
 
 def _reorder(rows: list[dict], limit: int, d: Diversity) -> list[int]:
-    """Greedy marginal relevance with caps, for one reader's short list; places in rows of what is picked."""
-    v = [np.asarray(r["vector"], float) if r["vector"] else None for r in rows]
-    v = [x / n if x is not None and (n := np.linalg.norm(x)) > 0 else None for x in v]
-    order = sorted(range(len(rows)), key=lambda i: (-rows[i]["score"], rows[i]["id"]))
-    if not order:
+    """Places in rows of one reader's varied list: at each step the best of what is still allowed, by score less likeness to what is
+    picked. Caps on interests and topics give way where they leave nothing; likeness and exploration never do."""
+    n = len(rows)
+    if not n:
         return []
-    near, floor = dict.fromkeys(order, 0.0), rows[order[0]]["score"] * d.exploration_floor
-    interests: dict = {}
-    topics: dict = {}
-    picked: list[int] = []
-    explored = 0
-
-    def alike(i: int, j: int) -> float:
-        if d.by == "topics":
-            a, b = set(rows[i]["topics"] or ()), set(rows[j]["topics"] or ())
-            return len(a & b) / len(a | b) if a and b else 0.0
-        if v[i] is None or v[j] is None or v[i].shape != v[j].shape:
-            return 0.0
-        return min(1.0, max(0.0, float(v[i] @ v[j])))
-
-    def allowed(i: int, strict: bool) -> bool:
-        r = rows[i]
-        if r["exploring"] and (explored >= int(limit * d.exploration_share) or r["score"] < floor):
-            return False
-        if picked and near[i] >= d.same:
-            return False
-        if not strict:
-            return True
-        full = r["interest"] is not None and interests.get(r["interest"], 0) >= d.per_interest
-        return not full and all(topics.get(t, 0) < d.per_topic for t in r["topics"] or ())
-
-    while order and len(picked) < limit:
-        worth = lambda i: (d.relevance * rows[i]["score"] - (1 - d.relevance) * near[i], -rows[i]["id"])
-        some = [i for i in order if allowed(i, True)] or [i for i in order if allowed(i, False)]
-        if not some:
+    score = np.array([r["score"] for r in rows], float)
+    tie = np.array([r["id"] for r in rows])
+    exploring = np.array([bool(r["exploring"]) for r in rows])
+    likeness = _likeness(rows, d)
+    # one column per interest and topic, with how many of each a list may hold
+    kinds = [("i", r["interest"]) for r in rows if r["interest"] is not None] + [("t", t) for r in rows for t in r["topics"] or ()]
+    column = {k: c for c, k in enumerate(dict.fromkeys(kinds))}
+    member = np.zeros((n, len(column)), bool)
+    for r, row in enumerate(rows):
+        if row["interest"] is not None:
+            member[r, column[("i", row["interest"])]] = True
+        for t in row["topics"] or ():
+            member[r, column[("t", t)]] = True
+    cap = np.array([d.per_interest if kind == "i" else d.per_topic for kind, _ in column], int)
+    held = np.zeros(len(column), int)
+    near, left, picked = np.zeros(n), np.ones(n, bool), []
+    left &= ~exploring | (score >= score.max() * d.exploration_floor)
+    for _ in range(min(limit, n)):
+        if exploring[picked].sum() >= int(limit * d.exploration_share):
+            left &= ~exploring
+        may = left & (near < d.same) if picked else left
+        within = may & ~(member & (held >= cap)).any(1)
+        some = np.flatnonzero(within if within.any() else may)
+        if not len(some):
             break
-        best = max(some, key=worth)
+        worth = d.relevance * score[some] - (1 - d.relevance) * near[some]
+        best = int(some[np.lexsort((tie[some], -worth))[0]])
         picked.append(best)
-        order.remove(best)
-        explored += bool(rows[best]["exploring"])
-        if rows[best]["interest"] is not None:
-            interests[rows[best]["interest"]] = interests.get(rows[best]["interest"], 0) + 1
-        for t in rows[best]["topics"] or ():
-            topics[t] = topics.get(t, 0) + 1
-        for i in order:
-            near[i] = max(near[i], alike(i, best))
+        left[best] = False
+        held += member[best]
+        near = np.maximum(near, likeness[best])
     return picked
 
 
+def top_per_interest(sims: DataFrame, most: int = 100) -> DataFrame:
+    """(id, sims array) as of similarities() -> (interest, rank, id, score): each interest's nearest papers, ties by id."""
+    each = sims.select("id", F.posexplode("sims").alias("interest", "score"))
+    w = Window.partitionBy("interest").orderBy(F.desc("score"), "id")
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("interest", "rank", "id", "score")
+
+
 def diversified(s: DataFrame, limit: int, d: Diversity | None = None) -> DataFrame:
     """s(reader, id, score, interest, topics, vector, exploring) -> (reader, id, place, score): each reader's list, varied.
 

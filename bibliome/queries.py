@@ -10,11 +10,13 @@ from pyspark.sql.window import Window
 
 from bibliome.functions import dates, ids, scores, taxonomy, text
 from bibliome.functions.embedding import HashedWords, embedded
-from bibliome.functions.vectors import cosine
-from bibliome.operators import corpus, evaluation, filters, fusion, lexical, normalise, recommend, semantic
+from bibliome.functions.vectors import cosine, similarities
+from bibliome.operators import corpus, evaluation, filters, fusion, ingest, lexical, normalise, recommend, reports, semantic
 from bibliome.operators.components import components
 from bibliome.operators.shred import payload_children
 from bibliome.operators.unpack import notice_values
+from bibliome.plans import embedding as keeping
+from bibliome.plans import feed as feeds
 from bibliome.session import table
 from bibliome.streaming import events as ev
 
@@ -583,6 +585,59 @@ def best_locations(spark: SparkSession, d: str) -> DataFrame:
     return corpus.best_locations(x.select(F.concat_ws(":", "origin", "parent_id").alias("paper"), "url", host.alias("host_type"), F.lower("availability").alias("licence"), pdf.alias("pdf_url"), F.col("pos").alias("at"))).withColumnRenamed("at", "arrived")
 
 
+# ---- the ingest step --------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT record_id, CASE WHEN try_cast(payload AS JSON) IS NULL THEN 'bad' WHEN row_number() OVER (PARTITION BY source_key, source_id ORDER BY fetched_at DESC NULLS LAST, record_id DESC) > 1 THEN 'same' ELSE 'new' END AS state FROM source_record""")
+def ingest_states(spark: SparkSession, d: str) -> DataFrame:
+    """What each delivery is to an empty corpus: new, repeated or unreadable."""
+    return ingest.delivered(table(spark, d, "source_record")).select("record_id", "state")
+
+
+@query()
+def ingest_papers(spark: SparkSession, d: str) -> DataFrame:
+    """The whole step over all records: papers with fields from all their records."""
+    made = ingest.ingested(table(spark, d, "source_record").withColumn("fetched_at", F.col("fetched_at").cast("timestamp")), F.lit(TODAY).cast("date"))
+    return made.papers.select("paper", "records", "title", "doi", "published_date", "oa_status", "is_peer_reviewed", "is_preprint", "venue.name")
+
+
+@query("SELECT name, count(*) AS records FROM (" + ORACLES["normalise_venues"].replace("SELECT record_id, name, venue_type FROM", "SELECT record_id, name FROM", 1) + ") GROUP BY name")
+def ingest_venue_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates name each venue of the venue table."""
+    c = _candidates(spark, d)
+    known = ingest.venues(c).select("name")
+    return c.where("venue IS NOT NULL").select("venue.name").join(known, "name", "left_semi").groupBy("name").agg(F.count("*").alias("records"))
+
+
+@query(f"""WITH m AS (SELECT article_id AS record, 'doi' AS id_type, {_DOI.format(c='doi')} AS value FROM epmc_article UNION ALL SELECT article_id, 'pmid', nullif(ltrim(regexp_extract(pmid, '(\\d+)', 1), '0'), '') FROM epmc_article),
+k AS (SELECT w.record, w.id_type, m.record AS paper FROM m w JOIN m ON w.id_type = m.id_type AND w.value = m.value), r AS (SELECT record, paper, max(CASE id_type WHEN 'doi' THEN 6 ELSE 4 END) AS strength FROM k GROUP BY 1, 2),
+b AS (SELECT record, arg_min(paper, (-strength, paper)) AS winner FROM r GROUP BY record) SELECT record, winner, paper AS loser FROM r JOIN b USING (record) WHERE paper <> winner""")
+def merge_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """Of the articles that share an identifier with each one, itself included, the one with the strongest kind stays."""
+    a = table(spark, d, "epmc_article")
+    m = a.select(F.col("article_id").alias("record"), F.explode(F.array(*[F.struct(F.lit(t).alias("id_type"), f(F.col(t)).alias("value")) for t, f in (("doi", ids.doi), ("pmid", ids.pmid))])).alias("k")).select("record", "k.*").where("value IS NOT NULL")
+    other = m.select("id_type", "value", F.col("record").alias("paper"))
+    return ingest.survivors(m.join(other, ["id_type", "value"]).select("record", "id_type", "paper"))
+
+
+@query("SELECT paper_id, doi_key FROM (SELECT paper_id, min(doi) AS doi_key, max(len(field_slugs)) AS f FROM (SELECT p.paper_id, p.field_slugs, d.doi FROM paper_facts p JOIN (" + f"SELECT paper_id, min(doi) AS doi FROM ({_CAND}) WHERE title IS NOT NULL AND doi IS NOT NULL GROUP BY paper_id" + ") d USING (paper_id)) GROUP BY paper_id) WHERE coalesce(f, 0) = 0 AND paper_id NOT IN (SELECT paper_id FROM source_record WHERE source_key = 'openalex' AND paper_id IS NOT NULL) ORDER BY paper_id")
+def enrich_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Papers with a doi and no field that the aggregator never told of."""
+    dois = corpus.candidates(table(spark, d, "source_record")).where("doi IS NOT NULL AND paper_id IS NOT NULL").groupBy(F.col("paper_id").alias("paper")).agg(F.min("doi").alias("doi"))
+    p = table(spark, d, "paper_facts").where("paper_id IS NOT NULL").groupBy(F.col("paper_id").alias("paper")).agg(F.max_by("field_slugs", F.size("field_slugs")).alias("fields")).join(dois, "paper")
+    asked = table(spark, d, "source_record").where("source_key = 'openalex' AND paper_id IS NOT NULL").select(F.col("paper_id").alias("paper")).distinct()
+    return reports.enrichment_candidates(p, asked).select(F.col("paper").alias("paper_id"), F.col("doi").alias("doi_key"))
+
+
+@query("SELECT preprint_id, coalesce(length(b) < 40, true) AS title_only, sha256(CASE WHEN length(b) >= 40 THEN h || '[SEP]' || b ELSE h END) AS text_hash FROM (SELECT preprint_id, coalesce(" + _SHOWN.format(c="title") + ", '') AS h, " + _SHOWN.format(c="abstract_text") + " AS b FROM epmc_preprint)")
+def embed_pending(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the papers a first run takes up, and what they were made of."""
+    p = table(spark, d, "epmc_preprint").select(F.col("preprint_id").alias("id"), "title", F.col("abstract_text").alias("abstract"), F.col("first_publication_date").cast("timestamp").alias("updated_at"))
+    enc = HashedWords(64)
+    none = keeping.encoded(p.limit(0), p.select("id").limit(0), enc, enc.model_key)
+    return keeping.refreshed(p, none, enc, limit=None).select(F.col("id").alias("preprint_id"), "title_only", "text_hash")
+
+
 # ---- sets --------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -723,6 +778,19 @@ def reco_scores(spark: SparkSession, d: str) -> DataFrame:
     return recommend.scored(_featured(spark, d)).select("facts_id", F.round("score", 5).alias("score"))
 
 
+@query(f"WITH {_FACTS}, {_INTERESTS}, s AS (SELECT n AS interest, facts_id AS id, list_cosine_similarity(v, qv) AS score FROM f, q), t AS (SELECT *, row_number() OVER (PARTITION BY interest ORDER BY score DESC, id) AS rank FROM s) SELECT interest, rank, id, round(score, 6) AS score FROM t WHERE rank <= 100")
+def reco_top_per_interest(spark: SparkSession, d: str) -> DataFrame:
+    sims = similarities(table(spark, d, "paper_facts"), "facts_id", "vector", _interests(spark, d))
+    return recommend.top_per_interest(sims).select("interest", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query()
+def reco_feed(spark: SparkSession, d: str) -> DataFrame:
+    """A whole feed: all candidate sources, hard filters, features, score, varied order, reasons."""
+    f = feeds.build_feed(table(spark, d, "paper_facts"), _profile(spark, d), F.lit(TODAY).cast("date"), window_days=3650)
+    return f.items.select("rank", "id", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"), "exploring")
+
+
 @query()
 def reco_mmr(spark: SparkSession, d: str) -> DataFrame:
     s = recommend.scored(_featured(spark, d)).orderBy(F.desc("score"), "facts_id").limit(400)

@@ -20,3 +20,22 @@ def test_maps_reports_and_filling(spark):
     p = spark.createDataFrame([("d", None, 1), ("e", "x", 2)], "doi string, title string, n int")
     f = spark.createDataFrame([("d", "T"), ("e", "Y")], "doi string, title string")
     assert sorted(tuple(r) for r in R.filled(p, f, "doi", ["title"]).collect()) == [("d", "T", 1), ("e", "x", 2)]
+
+
+def test_runs_and_enrichment(spark):
+    clock = iter(f"2025-01-0{n}" for n in range(1, 9))
+
+    def broken():
+        raise ValueError("no answer")
+
+    runs = R.harvested(spark, {"a": lambda: {"records": 3}, "b": broken, "c": lambda: {}}, lambda: next(clock))
+    assert {(r.source_key, r.status) for r in runs.collect()} == {("a", "done"), ("b", "failed"), ("c", "done")} and [r.source_key for r in R.recent_runs(runs, 2).collect()] == ["c", "b"]
+    kept = R.run_row(spark, "s", "1", "2", "done", {}, "c1").unionByName(R.run_row(spark, "s", "3", "4", "failed", {}, "c2", ["x" * 999]))
+    assert R.last_cursor(kept, "s") == "c1" and R.last_cursor(kept, "t") is None and len(kept.where("status = 'failed'").first().errors[0]) == 300
+    papers = spark.createDataFrame([("p1", "10.1/a", []), ("p2", "10.1/b", None), ("p3", None, None), ("p4", "10.1/d", ["f"]), ("p5", "10.1/e", None)], "paper string, doi string, fields array<string>")
+    todo = R.enrichment_candidates(papers, papers.where("paper = 'p5'"))
+    assert [r.paper for r in todo.collect()] == ["p1", "p2"] and [r.paper for r in R.enrichment_candidates(papers, papers.limit(0), "p1", 1).collect()] == ["p2"]
+    got = R.looked_up_works(todo, {"get": "tests.served.get"}).collect()
+    assert sorted(r.source_id for r in got) == ["https://doi.org/10.1/a", "https://doi.org/10.1/b"]
+    after = spark.createDataFrame([("p1", ["f"])], "paper string, fields array<string>")
+    assert {r.outcome: r.papers for r in R.enrichment_report(todo, after).collect()} == {"gained": 1, "merged away": 1}
