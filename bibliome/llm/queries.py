@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "paper_facts").select("facts_id", "vector")
-    return vectors.search_by_lists(facts, facts.where(F.col("facts_id") % 20 == 0), "facts_id", "vector").withColumnRenamed("id", "facts_id")
+    return vectors.search_by_lists(facts, facts.where(F.col("facts_id") % 20 == 0), "facts_id", "vector").select(F.col("id").alias("facts_id"), "rank", "other", F.round("similarity", 6).alias("similarity"))
 
 
 def _records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -101,6 +101,12 @@ WITH f AS (SELECT facts_id, list_transform(vector, lambda x: x::DOUBLE) AS v FRO
 s AS (SELECT a.facts_id AS a, b.facts_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM f a JOIN f b ON a.facts_id <> b.facts_id WHERE list_cosine_similarity(a.v, b.v) >= 0.8),
 t AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM s)
 SELECT DISTINCT least(a, b) AS facts_a, greatest(a, b) AS facts_b FROM t WHERE n <= 5"""
+_NEAREST_SQL = """
+WITH f AS (SELECT facts_id, list_transform(vector, lambda x: x::DOUBLE) AS v FROM paper_facts WHERE vector IS NOT NULL AND len(vector) = 96
+  AND list_bool_and(list_transform(vector, lambda x: isfinite(x))) AND list_bool_or(list_transform(vector, lambda x: x <> 0))),
+s AS (SELECT a.facts_id, b.facts_id AS other, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM f a JOIN f b ON a.facts_id <> b.facts_id WHERE a.facts_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY facts_id ORDER BY c DESC, other) AS rank FROM s)
+SELECT facts_id, rank, other, round(c, 6) AS similarity FROM t WHERE rank <= 5"""
 _P3_SQL = f"""
 WITH inv AS (SELECT record_id, string_agg(w, ' ' ORDER BY p, w) AS abstract FROM (
     SELECT s.record_id, e.key AS w, unnest(CAST(e.value AS INTEGER[])) AS p FROM source_record s, json_each(s.payload::JSON, '$.abstract_inverted_index') e WHERE s.source_key = 'openalex') GROUP BY record_id),
@@ -122,4 +128,4 @@ SELECT paper_id, field_name, record_id FROM (SELECT *, row_number() OVER (PARTIT
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_consensus, p3_papers, p4_found, p4_classes, p5_found, p5_repaired, p6_found, p6_matched, p8_ids, p9_packed, p9_summary, p10_found, p10_profile)}
-ORACLES: dict[str, str] = {"p1_found": _P1_SQL, "p3_found": _P3_SQL}
+ORACLES: dict[str, str] = {"p1_found": _P1_SQL, "p1_nearest": _NEAREST_SQL, "p3_found": _P3_SQL}

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bibliome.functions.vectors import cosine
 from bibliome.session import cut_lineage
 
 #: Rows codebooks are trained on, at most; every row is indexed.
@@ -40,6 +41,8 @@ _WORDS = 1024
 _ROOM = 4_000_000
 #: Pairs a row leaves in, on average, above which they are many.
 _MANY = 64
+#: Rows beyond k that a search ranks by the vectors themselves, since 16-bit ones may turn neighbours round.
+SPARE = 3
 #: More than products of 32-bit unit vectors can be wrong.
 SLACK = 1e-5
 
@@ -144,7 +147,7 @@ class Tier:
 
 @dataclass(frozen=True)
 class Index:
-    """tiers name lists; books, coarse and fine, make codes; least is the score that all but 0.2 % of the true neighbours seen have; blocks
+    """tiers name lists; books, coarse and fine, make codes; least is the score that all but 0.1 % of the true neighbours seen have; blocks
     says of lists that are too long how many blocks they are compared in."""
 
     tiers: tuple[Tier, ...]
@@ -289,7 +292,8 @@ def lists_for(a: np.ndarray, b: np.ndarray, books: Books, recall: float, *, sing
 def built(reps: DataFrame, rows: int, *, dim: int, k: int, min_sim: float, recall: float, fine: int, single: bool) -> Index:
     """The index of reps(id, v): trained on at most SAMPLE rows, list numbers from the neighbours of at most MEASURED rows.
 
-    `single`: rows are in one list each and only the searching row goes to several. A recall of 1 or few rows make one list.
+    `single`: rows are in one list each and only the searching row goes to several. A recall of 1, or rows for two lists at most, make
+    one list, whose rows are all compared.
     """
     _, x = _drawn(reps, rows, SAMPLE, dim, 1)
     x = unit(x) if len(x) else unit(_drawn(reps, 1, 64, dim, 1)[1])
@@ -300,9 +304,9 @@ def built(reps: DataFrame, rows: int, *, dim: int, k: int, min_sim: float, recal
     codes, norms = encode(np.concatenate([a, b]), books)
     made = sum(c[codes[:, i]] for i, c in enumerate(books))
     seen = np.r_[(a * made[len(a) :]).sum(1) - 0.5 * norms[len(a) :], (b * made[: len(a)]).sum(1) - 0.5 * norms[: len(a)]]
-    least = float(np.quantile(seen, 0.002)) if len(seen) >= 200 and min_sim > -1 else -np.inf
+    least = float(np.quantile(seen, 0.001)) if len(seen) >= 200 and min_sim > -1 else -np.inf
     if recall >= 1 or rows <= 2 * CELL_ROWS:
-        return Index((), books, -np.inf if recall >= 1 else least, {0: math.ceil(rows / BLOCK_ROWS)} if rows > BLOCK_ROWS else {})
+        return Index((), books, -np.inf, {0: math.ceil(rows / BLOCK_ROWS)} if rows > BLOCK_ROWS else {})
     tiers = [Tier(coarse, lists_for(a, b, coarse, recall, single=single))]
     while True:
         held = tuple(tiers)
@@ -487,7 +491,8 @@ def search_by_lists(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str
     """(id, rank, other, similarity): the k rows most similar to each query, over all rows.
 
     Every row is in the list nearest to it; a query goes to as many lists as hold `recall` of the true neighbours of a measured
-    sample. The `again` best of each list by lookup tables are ranked by their exact cosine. A query is a row of the same table
+    sample. The `again` best of each list by lookup tables are ranked by the cosine of 16-bit vectors, the best of all lists by
+    that of the vectors themselves, rounded to nine places. A query is a row of the same table
     and isn't its own answer; fewer than k other usable rows give fewer answers.
     """
     rows_in = usable_vectors(df, id_col, vec_col, dim)
@@ -536,7 +541,7 @@ def search_by_lists(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str
                 for r, row in enumerate(best):
                     row = row[ids[d[row]] != ids[q[s + r]]]
                     cos = np.minimum(exact[row] @ ask[s + r].astype(np.float64) / (length[row] * own[s + r]), 1.0)
-                    top = np.lexsort((ids[d[row]], -cos))[:k]
+                    top = np.lexsort((ids[d[row]], -cos))[: k + SPARE]
                     out_id += [ids[q[s + r]]] * len(top)
                     out_other += ids[d[row[top]]].tolist()
                     out_sim += cos[top].tolist()
@@ -545,5 +550,9 @@ def search_by_lists(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str
     schema = "key bigint, pair bigint, id bigint, v binary, code binary, norm float"
     asked = usable_vectors(queries, id_col, vec_col, dim).mapInArrow(asking, schema)
     found = reps.mapInArrow(held, schema).unionByName(asked).groupBy("key", "pair").applyInArrow(scan, "id bigint, other bigint, similarity double")
+    few = found.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where(F.col("_n") <= k + SPARE).select("id", "other")
+    raw = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"))
+    both = few.join(raw, "id").join(raw.select(F.col("id").alias("other"), F.col("v").alias("w")), "other")
+    exact = both.select("id", "other", F.round(cosine(F.col("v"), F.col("w")), 9).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    return found.select("id", rank.alias("rank"), "other", "similarity").where(F.col("rank") <= k)
+    return exact.select("id", rank.alias("rank"), "other", "similarity").where(F.col("rank") <= k)
