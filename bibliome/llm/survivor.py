@@ -169,14 +169,17 @@ def _kept(top: Sequence[str], votes: Sequence[float], reach: Sequence[float]) ->
 
 
 def _ends(top: Sequence[str], tokens: Sequence[str]) -> int:
-    """How many columns a value spans: to the last column that holds its last tokens in order."""
+    """How many columns a value spans: to the last column that its own last tokens lead up to, three of them if they stand together
+    anywhere, else two or one; a frequent last word alone doesn't carry a value that was cut off to the end."""
     n = min(len(top), len(tokens))
     if list(top[:n]) == list(tokens[:n]):
         return n
-    tail = tokens[-1] if tokens else ""
-    for i in range(len(top) - 1, -1, -1):
-        if top[i] == tail:
-            return i + 1
+    for m in (3, 2, 1):
+        tail = list(tokens[-m:])
+        if len(tail) == m:
+            for i in range(len(top) - m, -1, -1):
+                if list(top[i : i + m]) == tail:
+                    return i + m
     return n
 
 

@@ -104,3 +104,26 @@ def test_marks(spark, value, cut):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(S.marked_cut(F.lit("abstract"), S._plain(F.lit(value))).alias("x")).first().x is cut
+
+
+def test_a_frequent_last_word_does_not_carry_a_cut_value_to_the_end():
+    top = "the law of the sea and the ships of the north".split()
+    assert S._ends(top, "a law of the".split()) == 4 and S._ends(top, "the law of".split()) == 3 and S._ends(top, "ships of the north".split()) == 11
+
+
+def test_consensus_finds_planted_cuts_that_nothing_marks(spark):
+    """Titles cut in the middle, without a mark, in the most trusted source: of 40 all are told by the others."""
+    words = "deep marine sediment records of the early holocene in three northern basins and their shelves".split()
+    rows, cut = [], set()
+    for p in range(60):
+        full = " ".join(words[p % 5 :] + [f"site {p}"])
+        for r, source in enumerate(("openalex", "europepmc", "pubmed", "arxiv")):
+            short = source == "openalex" and p < 40
+            title = " ".join(full.split()[: 4 + p % 6]) if short else full
+            if short:
+                cut.add(p * 10 + r)
+            rows.append((p * 10 + r, source, f"s{p}", f"p{p}", '{"title": "%s"}' % title, None, None))
+    records = spark.createDataFrame(rows, "record_id bigint, source_key string, source_id string, paper_id string, payload string, fetched_at timestamp, stored_at timestamp")
+    priority = spark.createDataFrame([("openalex", "title", 9), ("europepmc", "title", 5), ("pubmed", "title", 4), ("arxiv", "title", 1)], "source_key string, field_name string, priority int")
+    got = {r.record_id for r in S.survivors(records, priority).where("field_name = 'title'").collect()}
+    assert not got & cut and got == {p * 10 + (1 if p < 40 else 0) for p in range(60)}
