@@ -25,9 +25,9 @@ from pyspark.sql.window import Window
 from bibliome.functions.vectors import cosine
 from bibliome.session import cut_lineage
 
-#: Rows codebooks are trained on, at most; every row is indexed.
+#: Rows codebooks are trained on, about, and twice as many at most; every row is indexed.
 SAMPLE = 8192
-#: Rows whose true neighbours are found by comparing them with all rows, at most.
+#: Rows whose true neighbours are found by comparing them with all rows, about, and twice as many at most.
 MEASURED = 512
 #: Aimed-at rows of a list, before each row is put into several.
 CELL_ROWS = 1000
@@ -290,7 +290,7 @@ def lists_for(a: np.ndarray, b: np.ndarray, books: Books, recall: float, *, sing
 
 
 def built(reps: DataFrame, rows: int, *, dim: int, k: int, min_sim: float, recall: float, fine: int, single: bool) -> Index:
-    """The index of reps(id, v): trained on at most SAMPLE rows, list numbers from the neighbours of at most MEASURED rows.
+    """The index of reps(id, v): trained on about SAMPLE rows, list numbers from the neighbours of about MEASURED rows.
 
     `single`: rows are in one list each and only the searching row goes to several. A recall of 1, or rows for two lists at most, make
     one list, whose rows are all compared.
