@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bibliome.operators.components import components
 from bibliome.operators.shred import child_tables
 from bibliome.operators.unpack import notice_values
 from bibliome.session import cut_lineage
@@ -177,6 +178,20 @@ def segment_join(doubtful: DataFrame, known: DataFrame, group: str, key: str) ->
     return met.select(F.col("g").alias(group), F.col("k").alias(key), "known")
 
 
+def followed(moved: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, key, target), one target a key, with a target that moves on itself replaced by the one at the end of its way, so that
+    all that steps link meet there; of a circle that is its least key."""
+    moved = cut_lineage(moved.select(group, key, "target"))
+    if moved.join(moved.select(group, F.col(key).alias("target")), [group, "target"], "left_semi").isEmpty():
+        return moved
+    node = lambda c: F.to_json(F.array(F.col(c), F.col(group)))
+    met = cut_lineage(components(moved.select(node(key).alias("a"), node("target").alias("b"))))
+    last = moved.join(moved.select(group, F.col(key).alias("target")), [group, "target"], "left_anti").select(node("target").alias("id"), F.col("target").alias("end")).distinct()
+    ends = met.join(last, "id").groupBy("component").agg(F.min("end").alias("end"))
+    least = F.from_json("component", "array<string>")[0]
+    return moved.select(group, key, node(key).alias("id")).join(met, "id").join(ends, "component", "left").select(group, key, F.coalesce("end", least).alias("target"))
+
+
 def people_classes(names: DataFrame, told: DataFrame) -> DataFrame:
     """names(name, n), told(name, family, given): what payloads say of the parts of some names -> (name, class)."""
     raw = cut_lineage(parsed_people(names.select("name")).join(names, "name"))
@@ -213,7 +228,7 @@ def people_classes(names: DataFrame, told: DataFrame) -> DataFrame:
     )
     better = weigh.where("ta = 1 OR tn >= 2 * pn").withColumn("r", F.row_number().over(Window.partitionBy("initial", "family").orderBy(F.desc("ta"), F.desc("tn"), "known"))).where("r = 1")
     direct = said.join(read.select("name", F.col("family").alias("seen")), "name").where(F.col("seen") != F.col("family")).select(F.col("seen").alias("family"), "initial", F.col("family").alias("target")).groupBy("family", "initial").agg(F.min("target").alias("target"))
-    moved = better.select("family", "initial", F.col("known").alias("target")).join(direct.select("family", "initial"), ["family", "initial"], "left_anti").unionByName(direct)
+    moved = followed(better.select("family", "initial", F.col("known").alias("target")).join(direct.select("family", "initial"), ["family", "initial"], "left_anti").unionByName(direct), "initial", "family")
     settled = placed.join(moved, ["family", "initial"], "left").select("name", F.coalesce("target", "family").alias("family"), "initial", "middle")
     split = settled.groupBy("family", "initial").agg(F.count_distinct(F.nullif("middle", F.lit(""))).alias("middles"))
     full = settled.join(split, ["family", "initial"])
@@ -272,6 +287,9 @@ class Gazetteer:
             return _HEAD[w]
         full = [c for c in self._by_first.get(w[:1], ()) if len(c) > len(w) and self._short(w, c)]
         if w in self.common and not full:
+            kinds = [h for h in _HEAD if len(h) > 4 and self.common.get(h, 0) >= 2 * self.common[w] and slip(w, h)]
+            if kinds:
+                return _HEAD[max(kinds, key=lambda h: (self.common[h], h))]
             slips = [c for c in self._by_first.get(w[0], ()) if len(w) > 4 and self.common[c] >= 8 * self.common[w] and slip(w, c)]
             return _HEAD.get(slips[0], slips[0]) if slips else _HEAD.get(w, w)
         if full:
@@ -324,10 +342,20 @@ def institution(name: str, g: Gazetteer) -> tuple[str, str, str] | None:
 def gazetteer(names: DataFrame) -> Gazetteer:
     """Common words and countries, from all names.
 
+    A common word stands beside three or more different parts of addresses or within three different parts that nothing follows;
+    one that is somewhere a whole part needs the former, as a town only ever stands before its own name and country.
+
     A country is what ends addresses after three or more towns (parts without any word for an institution), after a town in at
     least a fifth of its occurrences as an end, and stands before such an end in less than a tenth of all its occurrences.
     """
 
+    def beside(split: list[list[str]], i: int, w: str) -> str:
+        """The town or else the country after part i; where none follows the part itself, marked."""
+        for at in (-2, -1):
+            if i < len(split) + at and w not in split[at] and (at == -1 or not any(x in _HEAD for x in split[at])):
+                return " ".join(split[at])
+        return "=" + " ".join(split[i])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -339,22 +367,26 @@ def gazetteer(names: DataFrame) -> Gazetteer:
                     rows.append(("last", parts[-1], town))
                     rows += [("part", p, "") for p in parts]
                     rows += [("inner", p, "") for p in parts[:-1]]
-                rows += [("word", w, parts[-2] if len(parts) > 1 else parts[-1]) for p in split for w in set(p) if w not in _SMALL]
+                rows += [("word", w, beside(split, i, w)) for i, p in enumerate(split) for w in set(p) if w not in _SMALL]
                 rows.append(("all", "", ""))
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["kind", "w", "beside"])
 
     seen = names.select("name").mapInArrow(run, "kind string, w string, beside string")
-    counted = cut_lineage(seen.groupBy("kind", "w").agg(F.count("*").alias("n"), F.approx_count_distinct(F.nullif("beside", F.lit(""))).alias("d"), F.count_if(F.col("beside") != "").alias("towns")))
+    each = seen.groupBy("kind", "w", "beside").agg(F.count("*").alias("n"))
+    counted = cut_lineage(each.groupBy("kind", "w").agg(F.sum("n").alias("n"), F.count_if(F.col("beside") != "").alias("d"), F.count_if((F.col("beside") != "") & ~F.startswith("beside", F.lit("="))).alias("told"), F.sum(F.when(F.col("beside") != "", F.col("n")).otherwise(0)).alias("towns")))
     total = counted.where("kind = 'all'").agg(F.sum("n")).first()[0] or 0
     of = lambda kind, name: counted.where(F.col("kind") == kind).select("w", F.col("n").alias(name))
-    words = counted.where("kind = 'word'").join(of("part", "alone"), "w", "left").where("n >= 3 AND coalesce(alone, 0) * 4 < n AND d >= 3").where(F.col("n") >= LEXICON_SHARE * total)
+    words = counted.where("kind = 'word'").join(of("part", "alone"), "w", "left").where("n >= 3 AND coalesce(alone, 0) * 4 < n AND d >= 3 AND (alone IS NULL OR told >= 3)").where(F.col("n") >= LEXICON_SHARE * total)
     last = counted.where("kind = 'last'").join(of("inner", "inner"), "w", "left").where("d >= 3 AND towns * 5 >= n AND coalesce(inner, 0) * 9 < n").where(F.col("n") >= LEXICON_SHARE * total)
     return Gazetteer({r.w: r.n for r in words.select("w", "n").collect()}, frozenset(r.w for r in last.select("w").collect()))
 
 
 def organisation_classes(names: DataFrame) -> DataFrame:
-    """names(name, n) -> (name, class)."""
+    """names(name, n) -> (name, class).
+
+    Names without any place are told by their words, unless these tell no more than the kind of institution.
+    """
     g = gazetteer(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,13 +405,14 @@ def organisation_classes(names: DataFrame) -> DataFrame:
         F.when(F.col("town") == "", F.col("address")).when(F.col("address") == "", F.col("town"))
         .when(F.coalesce("c_address", F.lit(0)) >= F.coalesce("c_town", F.lit(0)), F.col("address")).otherwise(F.col("town"))
     )
-    placed = cut_lineage(x.select("name", "n", "what", pick.alias("place")).where("place <> ''"))
+    kinds = F.array(*map(F.lit, HEADS))
+    placed = cut_lineage(x.select("name", "n", "what", pick.alias("place")).where((F.col("place") != "") | (F.size(F.array_except(F.split("what", r"\|"), kinds)) > 0)))
     keys = placed.groupBy("what", "place").agg(F.sum("n").alias("n")).join(spots.select(F.col("t").alias("place"), "c", "both"), "place", "left").fillna(0, ["c", "both"])
     keys = cut_lineage(keys)
     near = segment_join(keys.where("both = 0"), keys, "what", "place")
     weigh = near.join(keys.select("what", "place", F.col("c").alias("pc")), ["what", "place"]).join(keys.select("what", F.col("place").alias("known"), F.col("c").alias("tc"), F.col("both").alias("tb")), ["what", "known"])
     better = weigh.where("tb > 0 OR tc >= 2 * pc").withColumn("r", F.row_number().over(Window.partitionBy("what", "place").orderBy(F.desc(F.col("tb") > 0), F.desc("tc"), "known"))).where("r = 1")
-    moved = better.select("what", "place", F.col("known").alias("target"))
+    moved = followed(better.select("what", "place", F.col("known").alias("target")), "what", "place")
     return placed.join(moved, ["what", "place"], "left").select("name", F.concat_ws("|", "what", F.coalesce("target", "place")).alias("class"))
 
 

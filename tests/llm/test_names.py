@@ -105,3 +105,46 @@ def test_a_town_that_ends_the_address_is_no_country(spark):
     assert g.countries == frozenset({"norland"})
     assert {N.institution(n, g)[2] for n in names if "Kelburg" in n} == {"kelburg"}
     assert N.institution("Institute of Physics, Norland", g)[2] == "norland"
+
+
+def classes_of(spark, names):
+    return {r.name: r["class"] for r in N.organisation_classes(spark.createDataFrame([(n, 1) for n in names], "name string, n bigint")).collect()}
+
+
+def test_a_slip_of_a_slip_is_followed_to_the_town(spark):
+    names = ["University of Kelburgton, Kelburgton, Norland", "Univ Kelburgton, Kelburgton, Norland", "University of Kelburgtan", "Univ. of Kelburgtan", "University of Kelpurgtan", "University of Morvale"]
+    got = classes_of(spark, names)
+    assert len({got[n] for n in names[:5]}) == 1 and got[names[5]] != got[names[0]] and got[names[0]].endswith("|kelburgton")
+
+
+def test_steps_are_followed_to_their_end(spark):
+    moved = [("g", "a", "b"), ("g", "b", "c"), ("h", "b", "x"), ("h", "c", "a"), ("k", "p", "q"), ("k", "q", "p"), ("k", "r", "q"), (None, "n", "m")]
+    df = lambda rows: spark.createDataFrame(rows, "grp string, word string, target string")
+    want = {("g", "a", "c"), ("g", "b", "c"), ("h", "b", "x"), ("h", "c", "a"), ("k", "p", "p"), ("k", "q", "p"), ("k", "r", "p")}
+    assert {tuple(r) for r in N.followed(df(moved[:-1]), "grp", "word").collect()} == want
+    assert {tuple(r) for r in N.followed(df(moved[:1]), "grp", "word").collect()} == set(moved[:1])
+
+
+def test_a_frequent_slip_of_a_kind_of_institution_is_read(spark):
+    towns = [f"Town{c}ville" for c in "abcdefgh"]
+    names = [f"{t} {h} of Physics, {t}, Norland" for t in towns for h in ("Institute", "Instiute")] + [f"Institute of Physics {t}, {t}, Norland" for t in towns]
+    got = classes_of(spark, names)
+    assert len(got) == len(names) and len(set(got.values())) == len(towns)
+    assert all(got[f"{t} Institute of Physics, {t}, Norland"] == got[f"{t} Instiute of Physics, {t}, Norland"] for t in towns)
+
+
+def test_a_town_in_many_short_names_is_no_kind_of_institution(spark):
+    towns = [f"Town{c}ville" for c in "abcdefgh"]
+    names = [f"{h}, {t}, Norland" for t in towns for h in (f"University of {t}", f"{t} General Hospital", f"{t} Institute of Marine Biology")]
+    more = ["Univ Kelburg", "Kelburg University", "Universidad de Kelburg", "U of Kelburg", "University of Kelburg, Norland", "University of Kelburg, Kelburg, Norland"]
+    got = classes_of(spark, names + more)
+    assert len({got[n] for n in more}) == 1
+
+
+def test_names_without_any_place_meet_by_their_words(spark):
+    towns = [f"Town{c}ville" for c in "abcdefgh"]
+    names = [f"{t} Institute of Marine Biology, {t}, Norland" for t in towns]
+    more = ["Institute of Marine Biology", "Inst. of Mar. Biol.", "Institute for Marine Biology"]
+    got = classes_of(spark, [*names, *more, "University", "Univ.", "University Hospital"])
+    assert len({got[n] for n in more}) == 1 and not {got[n] for n in more} & {got[n] for n in names}
+    assert not {"University", "Univ.", "University Hospital"} & got.keys()
