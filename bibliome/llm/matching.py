@@ -24,8 +24,9 @@ from bibliome.session import cut_lineage
 WINDOW = 8
 #: Rows of a sorted list that one window function takes, besides the overlap.
 _BLOCK = 4000
-#: Pairs of a group of classes that one task assigns; greater groups, which no real data gave, are assigned pair by pair.
-LARGE = 50_000
+#: None: groups of classes of any size are assigned exactly, each by one task. A number, which no query sets, has groups of more
+#: pairs assigned pair by pair, to at least half the greatest total.
+LARGE: int | None = None
 #: Least similarity of titles.
 _TITLE = 0.84
 #: Names of Greek letters, which one source writes out, keeps or loses.
@@ -227,7 +228,7 @@ def confident(judged: DataFrame) -> DataFrame:
 
 def assigned(edges: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
     """The one-to-one pairs of greatest total confidence, by augmenting paths of least cost; of equal totals the first found with
-    ends in order."""
+    ends in order, free ones before taken ones: else many equal confidences would have every search go through all pairs."""
     left, right = sorted({a for a, _, _ in edges}), sorted({w for _, w, _ in edges})
     at = {w: j for j, w in enumerate(right)}
     out: dict[str, list[tuple[int, int]]] = {a: [] for a in left}
@@ -246,11 +247,11 @@ def assigned(edges: list[tuple[str, str, float]]) -> list[tuple[str, str, float]
                 d = base + c - pot_l[i] - pot_r[j]  # noqa: B023
                 if j not in done and d < dist.get(j, 1 << 60):  # noqa: B023
                     dist[j], back[j] = d, i  # noqa: B023
-                    heappush(heap, (d, j))  # noqa: B023
+                    heappush(heap, (d, of_r[j] >= 0, j))  # noqa: B023
 
         reach(root, 0)
         while True:
-            d, j = heappop(heap)
+            d, _, j = heappop(heap)
             if j in done:
                 continue
             done.add(j)
@@ -267,32 +268,37 @@ def assigned(edges: list[tuple[str, str, float]]) -> list[tuple[str, str, float]
             of_r[j], of_l[i], j = i, j, of_l[i]
             if i == root:
                 break
-    best = {(a, w): c for a, w, c in sorted(edges, key=lambda e: e[2])}
-    return [(left[i], right[j], best[(left[i], right[j])]) for i, j in enumerate(of_l) if j < m]
+    best = {(left[i], right[j]): 0.0 for i, j in enumerate(of_l) if j < m}
+    for a, w, c in edges:
+        if (a, w) in best:
+            best[a, w] = max(c, best[a, w])
+    return [(a, w, c) for (a, w), c in best.items()]
 
 
 def one_to_one(cross: DataFrame) -> DataFrame:
     """cross(a, w, confidence), each pair once -> the pairs of greatest total confidence in which no end occurs twice.
 
-    Pairs that share no end with others are chosen as they are. The rest falls into components, each solved exactly in one task;
-    a component of more than LARGE pairs is instead solved by taking, again and again, the pairs that are each end's best, which
-    has at least half the greatest total.
+    Pairs that share no end with others are chosen as they are. The rest falls into components, each solved exactly in one task,
+    however many pairs it has. Only where LARGE is set is a component of more pairs instead solved by taking, again and again, the
+    pairs that are each end's best, which has at least half the greatest total.
     """
     lone = cross.withColumns({"na": F.count("*").over(Window.partitionBy("a")), "nw": F.count("*").over(Window.partitionBy("w"))})
     lone = cut_lineage(lone)
     tied = lone.where("na > 1 OR nw > 1").select("a", "w", "confidence")
     done = lone.where("na = 1 AND nw = 1").select("a", "w", "confidence")
     group = components(tied, "a", "w").withColumnRenamed("id", "a")
-    sized = tied.join(group, "a").withColumn("n", F.count("*").over(Window.partitionBy("component")))
-    sized = cut_lineage(sized)
+    grouped = tied.join(group, "a").select("component", "a", "w", "confidence")
 
     def solve(t: pa.Table) -> pa.Table:
         rows = assigned(list(zip(t["a"].to_pylist(), t["w"].to_pylist(), t["confidence"].to_pylist(), strict=True)))
         cols = list(zip(*rows, strict=True)) or [[]] * 3
         return pa.table([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["a", "w", "confidence"])
 
-    solved = sized.where(F.col("n") <= LARGE).select("component", "a", "w", "confidence").groupBy("component").applyInArrow(solve, "a string, w string, confidence double")
-    done = done.unionByName(solved)
+    exact = lambda df: df.groupBy("component").applyInArrow(solve, "a string, w string, confidence double")
+    if LARGE is None:
+        return done.unionByName(exact(grouped))
+    sized = cut_lineage(grouped.withColumn("n", F.count("*").over(Window.partitionBy("component"))))
+    done = done.unionByName(exact(sized.where(F.col("n") <= LARGE).drop("n")))
     open_ = sized.where(F.col("n") > LARGE).select("a", "w", "confidence")
     while not open_.isEmpty():  # the most confident pair left is always each side's best, so every round wins some
         best = open_.withColumns({"ra": F.row_number().over(Window.partitionBy("a").orderBy(F.desc("confidence"), "w")), "rw": F.row_number().over(Window.partitionBy("w").orderBy(F.desc("confidence"), "a"))})
